@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import near_dedup, quality_rules, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(spark, documents(spark, sf_dir))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.substring_dedup(spark, documents(spark, sf_dir))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,4 +47,12 @@ r as (select a, b from e2 union select r.a, e2.b from r join e2 on r.b = e2.a),
 c as (select a, min(b) as c from r group by a)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(c.c, d.doc_id)) as kept
 from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id""",
+    "op10_substring_dedup": rf"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i as p, array_to_string(w[i:i + 34], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from w where len(w) >= 35)),
+rep as (select doc_id, p from win join (select s from win group by s having count(*) > 1) using (s)),
+hit as (select distinct doc_id, unnest(range(p, p + 35)) as i from rep),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from w),
+kept as (select doc_id, array_to_string(list(x order by i), ' ') as t, count(*) as k from word anti join hit using (doc_id, i) group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(k, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)""",
 }
