@@ -24,15 +24,17 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 
 #: (name, measure, bad below, good from, good to, bad above); None leaves a side open. Between a good and a bad bound a rule abstains.
 RULES = (
-    ("length", "n_words", 25, 60, None, None),
+    ("length", "n_words", 10, 40, None, None),
     ("symbols", "symbols_per_word", None, None, 0.05, 0.3),
     ("word_length", "mean_word", 2.5, 3.5, 9.0, 14.0),
-    ("dup_lines", "dup_line_share", None, None, 0.1, 0.3),
-    ("repeats", "repeat_share", None, None, 0.1, 0.25),
+    ("dup_lines", "dup_line_share", None, None, 0.2, 0.6),
+    ("repeats", "repeat_share", None, None, 0.15, 0.4),
     ("capitals", "capital_share", None, None, 0.2, 0.5),
     ("exclaims", "exclaims_per_word", None, None, 0.05, 0.3),
     ("variety", "distinct_share", 0.05, 0.2, None, None),
 )
+#: What is believed of a bad vote and of the share of good texts before any agreement is seen, and how much that weighs against the votes themselves.
+BELIEF, GOOD, WEIGHT = 0.85, 0.9, 0.5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "capitals", "letters", "exclaims", "n_distinct")
 
 
@@ -102,39 +104,35 @@ def votes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("votes", F.concat(*digits))
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 200, smoothing: float = 2.0) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation for two classes and independent three-way votes.
+def fit(patterns: list[tuple[str, int]], rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over vote patterns and their counts.
 
-    Returns the share of good documents and P(vote | class) as (class, rule, vote). It starts from the majority of
-    votes, which fixes which class is the good one; the smoothing counts keep a rule that never fires neutral.
+    Returns the share of good documents, each rule's accuracy when it votes bad, and when it votes good. An abstention
+    says nothing. Agreement between rules raises their accuracies; a rule that fires alone keeps the prior belief in a bad vote.
     """
     table = np.array([[int(c) for c in p] for p, _ in patterns], np.int64).reshape(-1, len(RULES))
     weight = np.array([n for _, n in patterns], float)
-    if not len(table):
-        return 0.5, np.full((2, len(RULES), 3), 1 / 3)
-    hot = np.eye(3)[table]
-    lean = (table - 1).sum(axis=1)
-    good = 1 / (1 + np.exp(-lean))
-    start = np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])
+    bad_votes, good_votes = (table == 0) * weight[:, None], (table == 2) * weight[:, None]
+    share, bad, good = GOOD, np.full(len(RULES), BELIEF), np.full(len(RULES), 0.8)
     for _ in range(rounds):
-        share = (good @ weight + smoothing) / (weight.sum() + 2 * smoothing)
-        chance = np.empty((2, len(RULES), 3))
-        for y, belief in enumerate((1 - good, good)):
-            counts = np.einsum("p,prv->rv", belief * weight, hot) + smoothing * 3 * start[y]
-            chance[y] = counts / counts.sum(axis=1, keepdims=True)
-        new = posterior(table, share, chance)
-        done = np.abs(new - good).max() < 1e-9
-        good = new
-        if done:
+        belief = posterior(table, share, bad, good)
+        before = np.concatenate([[share], bad, good])
+        share = (belief @ weight + GOOD * (WEIGHT * weight.sum() + 1)) / ((1 + WEIGHT) * weight.sum() + 1)
+        cast = bad_votes.sum(axis=0)
+        bad = np.clip(((1 - belief) @ bad_votes + BELIEF * (WEIGHT * cast + 1)) / ((1 + WEIGHT) * cast + 1), 0.55, 0.995)
+        good = np.clip((belief @ good_votes + 1) / (good_votes.sum(axis=0) + 1 / share), 0.5, 0.995)
+        if np.abs(before - np.concatenate([[share], bad, good])).max() < 1e-9:
             break
-    return float(share), chance
+    return float(share), bad, good
 
 
-def posterior(table: np.ndarray, share: float, chance: np.ndarray) -> np.ndarray:
-    """P(good | votes) for each pattern."""
-    rules = np.arange(table.shape[1])
-    odds = np.log(share / (1 - share)) + (np.log(chance[1, rules, table]) - np.log(chance[0, rules, table])).sum(axis=1)
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+def posterior(table: np.ndarray, share: float, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """P(good | votes) for each pattern. Good votes all come from the absence of defects, so together they count as one: their mean."""
+    prior = np.log(share / (1 - share))
+    against = np.where(table == 0, np.log((1 - bad) / bad) - prior, 0).sum(axis=1)
+    cast = (table == 2).sum(axis=1)
+    support = np.where(table == 2, np.log(good / (1 - good)) - prior, 0).sum(axis=1) / np.maximum(cast, 1)
+    return 1 / (1 + np.exp(-np.clip(prior + against + support, -700, 700)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -144,9 +142,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, threshold: float = 0.5)
     """
     rows = written(votes(measured(docs)), "quality-rules")
     patterns = [(r["votes"], r["n"]) for r in rows.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # 3^rules rows at most
-    share, chance = fit(patterns)
+    fitted = fit(patterns)
     table = np.array([[int(c) for c in p] for p, _ in patterns], np.int64).reshape(-1, len(RULES))
-    known = spark.createDataFrame([(p, float(q)) for (p, _), q in zip(patterns, posterior(table, share, chance), strict=True)], "votes string, posterior double")
+    known = spark.createDataFrame([(p, float(q)) for (p, _), q in zip(patterns, posterior(table, *fitted), strict=True)], "votes string, posterior double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         rows.join(F.broadcast(known), "votes")
