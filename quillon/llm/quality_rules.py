@@ -120,7 +120,8 @@ def fit(patterns: list[tuple[str, int]], rounds: int = 500) -> tuple[float, np.n
         share = (belief @ weight + GOOD * (WEIGHT * weight.sum() + 1)) / ((1 + WEIGHT) * weight.sum() + 1)
         cast = bad_votes.sum(axis=0)
         bad = np.clip(((1 - belief) @ bad_votes + BELIEF * (WEIGHT * cast + 1)) / ((1 + WEIGHT) * cast + 1), 0.55, 0.995)
-        good = np.clip((belief @ good_votes + 1) / (good_votes.sum(axis=0) + 1 / share), 0.5, 0.995)
+        cast = good_votes.sum(axis=0)
+        good = np.clip((belief @ good_votes + GOOD * (WEIGHT * cast + 1)) / ((1 + WEIGHT) * cast + 1), 0.5, 0.995)
         if np.abs(before - np.concatenate([[share], bad, good])).max() < 1e-9:
             break
     return float(share), bad, good
