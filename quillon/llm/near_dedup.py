@@ -198,19 +198,44 @@ def compare_nodes(members: DataFrame, small: int = SMALL) -> DataFrame:
     return _by_node(members, flush, ["node", "id", "sketch"], "a long, b long, dense int, sketch binary")
 
 
+def linked(own: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= 75 * union."""
+    if not len(own) or 4 * min(len(own), len(other)) < 3 * max(len(own), len(other)):
+        return False
+    place = np.searchsorted(own, other)
+    shared = int((own[np.minimum(place, len(own) - 1)] == other).sum())
+    return 100 * shared >= 75 * (len(own) + len(other) - shared)
+
+
 def compare_dense(members: DataFrame) -> DataFrame:
-    """(node, id, sketch, component) to all candidate pairs of different components, within each node."""
+    """(node, id, sketch, component, grams) to links on full sets that join different components, within each node.
 
-    def flush(node: int, ids: list, sketches: list, comps: list, out: list) -> None:
-        comp = np.array(comps, np.int64)
-        if (comp == comp[0]).all():
+    Candidate pairs are tried from the most alike on; a pair that earlier links already join is passed over, so a node yields fewer links
+    than it has members and no two components that any pair of the node links stay apart.
+    """
+
+    def flush(node: int, ids: list, sketches: list, comps: list, grams: list, out: list) -> None:
+        parent = {c: c for c in comps}
+        if len(parent) < 2:
             return
-        tokens = np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, SKETCH)
-        same = np.triu(_agreements(tokens), 1)
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        comp = np.array(comps, np.int64)
+        same = np.triu(_agreements(np.frombuffer(b"".join(sketches), np.uint32).reshape(-1, SKETCH)), 1)
         same[comp[:, None] == comp[None, :]] = 0
-        out.extend((min(ids[i], ids[j]), max(ids[i], ids[j]), 0, None) for i, j in np.argwhere(same >= AGREE))
+        pairs = np.argwhere(same >= AGREE)
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        for i, j in pairs[np.argsort(-same[pairs[:, 0], pairs[:, 1]], kind="stable")]:
+            a, b = root(comps[i]), root(comps[j])
+            if a != b and linked(sets[i], sets[j]):
+                parent[b] = a
+                out.append((ids[i], ids[j]))
 
-    return _by_node(members, flush, ["node", "id", "sketch", "component"], "a long, b long, dense int, sketch binary")
+    return _by_node(members, flush, ["node", "id", "sketch", "component", "grams"], "a long, b long")
 
 
 def _by_node(members: DataFrame, flush, columns: list[str], schema: str) -> DataFrame:
@@ -265,14 +290,9 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found = np.frombuffer(grams, np.uint64)
                 if not kind:
                     leader, own = a, found
-                elif a == leader:
-                    if 4 * min(len(own), len(found)) < 3 * max(len(own), len(found)):
-                        continue
-                    place = np.searchsorted(own, found)
-                    shared = int((own[np.minimum(place, len(own) - 1)] == found).sum()) if len(own) else 0
-                    if 100 * shared >= 75 * (len(own) + len(found) - shared):
-                        left.append(a)
-                        right.append(b)
+                elif a == leader and linked(own, found):
+                    left.append(a)
+                    right.append(b)
             if left:
                 yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -287,7 +307,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         hashes = _words()
         return pa.record_batch([batch.column(0), pa.array([shingles(t, hashes).tobytes() for t in raw(batch.column(1))], pa.binary())], ["id", "grams"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return over_arrow(rows, ["id", "text"], "id long, grams binary", run)
 
 
@@ -333,8 +353,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, small: int = SMALL, la
         comps = connected_components(links)
         apart = dense.join(comps, "id", "left").select("node", "id", "sketch", F.coalesce("component", "id").alias("component"))
         split = apart.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        more = compare_dense(apart.join(split, "node", "left_semi")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(written(confirm(more, sets), "dedup-links"))
+        links = links.union(written(compare_dense(apart.join(split, "node", "left_semi").join(sets, "id")), "dedup-links"))
         forget(comps)
     comps = connected_components(links)
     ids = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
