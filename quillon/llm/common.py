@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Odd 64-bit constants of the multiplicative hashes.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -48,7 +49,7 @@ def forget(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def over_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def over_arrow(df: DataFrame, columns: list[str], schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """Apply fn to each Arrow batch of the columns; None yields nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +62,16 @@ def over_arrow(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, column: str, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows of df, with all columns, that keep() says yes to, given the UTF-8 texts of a column."""
+    at = df.columns.index(column)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(raw(batch.column(at))), pa.bool_()))
+
+    return over_arrow(df, df.columns, df.schema, run)
+
+
 def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes, one row at least; bounds memory where texts are long."""
     if batch.num_rows <= 1 or batch.nbytes <= most:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Rolling, WordHashes, forget, mixed, over_arrow, raw, written
 from .components import connected_components
@@ -361,3 +362,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, small: int = SMALL, la
     return rows.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each group of linked documents, one row of each doc_id, and every row without a doc_id."""
+    kept = near_duplicates(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    return rows.unionByName(docs.filter("doc_id is null"))

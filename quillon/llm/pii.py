@@ -69,9 +69,9 @@ def spans_of(df: DataFrame, text: str, kind: str, pattern: str, needs: Column) -
     return df.withColumn(kind, F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["spans"])).otherwise(F.array().cast(_SPAN))).drop(found, between)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `base`: the valid spans by kind, then start. A null text counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def base_spans(docs: DataFrame, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, text, carried columns and `base`: the valid spans by kind, then start. A null text counts as empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carried)
     digit = F.col("text").rlike("[0-9]")
     needs = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")) & digit, "ip": digit, "card": digit}
     for kind, pattern in KINDS:
@@ -149,13 +149,27 @@ def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     clean_text has each span replaced by its kind in brackets; overlapping spans become one. Null texts count as empty. Rows with a null
     doc_id get the pattern spans only; rows of one doc_id share their terms. An empty table gives no rows. Other columns are ignored.
     """
-    rows = base_spans(docs)
-    terms = disclosing_terms(rows)
-    if terms is None:
-        rows = rows.withColumn("extra", F.array().cast(_SPAN))
-    else:
-        rows = term_spans(rows.join(terms, "doc_id", "left"))
+    rows = _spanned(docs)
     spans = F.concat("base", "extra")
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [of(kind).alias(f"n_{kind}") for kind, _ in KINDS]
     return rows.select("doc_id", *counts, _report(F.col("base")).alias("base_report"), _report(spans).alias("spans"), _cleaned(F.col("text"), spans).alias("clean_text"))
+
+
+def sanitised_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with every text sanitised (null stays null), n_chars (if there) its new length, and all other columns as they were."""
+    rows = _spanned(docs, (F.struct(*docs.columns).alias("_row"),))
+    clean = F.when(F.col("_row")["text"].isNotNull(), _cleaned(F.col("text"), F.concat("base", "extra")))
+    rows = rows.select("_row", clean.alias("_clean"))
+    new = {"text": F.col("_clean"), "n_chars": F.length("_clean")}
+    return rows.select(*(new.get(c, F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _spanned(docs: DataFrame, carried: tuple[Column, ...] = ()) -> DataFrame:
+    rows = base_spans(docs, carried)
+    terms = disclosing_terms(base_spans(docs))
+    if terms is None:
+        rows = rows.withColumn("extra", F.array().cast(_SPAN))
+    else:
+        rows = term_spans(rows.join(terms, "doc_id", "left"))
+    return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pii, quality_rules, substring_dedup
+from . import decontamination, edit_counts, hmm_lm, language_id, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,30 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_report", 256).alias("base_sha256"), "spans")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.token_counts(spark, documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.language_model_scores(spark, documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(spark, documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -38,7 +58,12 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_decontamination": op8_decontamination,
+    "op9_hmm_lm": op9_hmm_lm,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

@@ -34,9 +34,9 @@ class WordIds(dict):
             self.clear()
             new = list(set(words))
         if len(new) > 64:
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         else:
-            encoded = [self.tokenizer.encode(w.decode(), add_special_tokens=False) for w in new]
+            encoded = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False) for w in new]
         for word, e in zip(new, encoded, strict=True):
             self[word] = np.array(e.ids, "<u4").tobytes()
 
