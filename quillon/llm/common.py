@@ -58,6 +58,7 @@ def over_arrow(df: DataFrame, columns: list[str], schema: str | StructType, fn:
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -90,7 +91,7 @@ def raw(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """Word bytes to a 64-bit hash, remembered up to `most` words."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 

@@ -160,9 +160,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         window, check, row, doc, at = [], [], [], [], []
-        for key, own, text, spot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        spots = Spots(batch.column(3))
+        for i, (key, own, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True)):
             spans = Spans(text.split())
-            _, unsure = plan_windows(spans, *_spots(spot))
+            _, unsure = plan_windows(spans, *spots[i])
             if len(unsure):
                 for to, value in zip((window, check), spans.windows(unsure), strict=True):
                     to.append(value)
@@ -181,12 +182,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, kept = [], [], []
-        for text, spot, sure in zip(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        spots, sure = Spots(batch.column(2)), batch.column(3)
+        at_of, verified_at = sure.offsets.to_numpy(), sure.values.to_numpy(zero_copy_only=False)
+        for i, text in enumerate(raw(batch.column(1))):
             words = text.split() if text else []
             total.append(len(words))
-            if spot:
-                fixed, _ = plan_windows(Spans(words), *_spots(spot))
-                starts = np.unique(np.concatenate([fixed, np.array(sure or [], np.int64)]))
+            if spots.valid[i]:
+                fixed, _ = plan_windows(Spans(words), *spots[i])
+                starts = np.unique(np.concatenate([fixed, verified_at[at_of[i] : at_of[i + 1]].astype(np.int64)]))
                 out, at = [], 0
                 for a, b in runs(starts, SPAN):
                     out.extend(words[at:a])
@@ -199,8 +202,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return over_arrow(full, ["doc_id", "text", "spots", "verified"], "doc_id long, n_words long, n_removed long, kept_text string", finish)
 
 
-def _spots(spot: list[dict]) -> Iterator[np.ndarray]:
-    return (np.array([s[k] for s in spot], np.int64) for k in ("pos", "node_count", "edge_count"))
+class Spots:
+    """A column of repeated nodes by row, without a Python object for each."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        self.offsets = column.offsets.to_numpy()
+        values = column.values
+        self.columns = [values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
+        self.valid = column.is_valid().to_numpy(zero_copy_only=False)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.offsets[i], self.offsets[i + 1]
+        return tuple(c[a:b] for c in self.columns)
 
 
 def _from_files(docs: DataFrame) -> bool:
