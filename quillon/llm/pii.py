@@ -97,11 +97,19 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     seen = written(seen.select("doc_id", F.lower("s.value").alias("entity"), near.alias("near"), F.xxhash64(left, right).alias("context")), "pii-entities")
     pairs = seen.select("entity", F.explode("near").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
     pairs = pairs.filter((F.col("contexts") >= CONTEXTS) & (F.length("term") > 1) & ~F.contains("entity", F.col("term")))
-    strong = written(pairs, "pii-pairs")
+    total = rows.count()
+    with_entity = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("df_e"))
+    near_docs = seen.select("doc_id", "entity", F.explode("near").alias("term")).distinct()
+    together = near_docs.groupBy("entity", "term").agg(F.count("*").alias("df_te"))
+    around = near_docs.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
+    p_e = F.col("df_e") / F.lit(float(total))
+    reveals = lambda p_e_t: F.log2(p_e_t / p_e) >= DISCLOSURE * -F.log2(p_e)
+    # documents with the term near some entity are among those with the term, so what fails here fails on the whole corpus
+    pairs = pairs.join(with_entity, "entity").join(together, ["entity", "term"]).join(around, "term").filter((p_e < 1) & reveals(F.col("df_te") / F.col("df_near")))
+    strong = written(pairs.select("entity", "term", "df_e", "df_te"), "pii-pairs")
     n_terms = strong.select("term").distinct().count()
     if not n_terms:
         return None
-    total = rows.count()
     terms = strong.select("term").distinct()
     words = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     if n_terms <= BROADCAST_TERMS:
@@ -109,10 +117,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
         df = words.groupBy("term").agg(F.count("*").alias("df"))
     else:
         df = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
-    with_entity = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("df_e"))
-    together = seen.select("doc_id", "entity", F.explode("near").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te"))
-    p_e, p_e_t = F.col("df_e") / F.lit(float(total)), F.least(F.col("df_te") / F.col("df"), F.lit(1.0))
-    revealing = strong.join(df, "term").join(with_entity, "entity").join(together, ["entity", "term"]).filter(F.log2(p_e_t / p_e) >= DISCLOSURE * -F.log2(p_e)).filter(p_e < 1)
+    revealing = strong.join(df, "term").filter(reveals(F.least(F.col("df_te") / F.col("df"), F.lit(1.0))))
     revealing = written(revealing.select("entity", "term"), "pii-revealing")
     if not revealing.limit(1).count():
         return None
