@@ -44,7 +44,8 @@ class CountTree:
 
     def _count(self, words: list[bytes]) -> int:
         self.encoded += len(words)
-        self.known.learn(words)
+        if any(w not in self.known for w in words):
+            self.known.learn([words])
         return sum(len(self.known[w]) for w in words) // 4
 
     def _sums(self) -> None:
@@ -141,7 +142,7 @@ def counts_after_edits(docs: DataFrame, edits: str = "edits", path: str | None =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = word_ids(where)
         texts = [t or b"" for t in raw(batch.column(1))]
-        known.learn([w for t in texts for w in t.split()])
+        known.learn([t.split() for t in texts])
         out = []
         for text, own in zip(texts, batch.column(2).to_pylist(), strict=True):
             tree = CountTree(text, known)

@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = word_ids(path)
         split = [t.split() if t else [] for t in raw(batch.column(1))]
-        known.learn([w for words in split for w in words])
+        known.learn(split)
         doc, piece, start, length, ids = [], [], [], [], []
         step = 4 * capacity
         for row, words in enumerate(split):

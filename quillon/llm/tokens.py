@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
+from collections.abc import Iterable
+
 import numpy as np
 
+#: ASCII punctuation: the vocabulary's splitter always parts it from letters and digits before it.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -11,34 +18,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _plain(word: bytes) -> str:
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
+
+
 class WordIds(dict):
     """Stretches of text without ASCII white space to the packed ids (little-endian uint32) of a word-end BPE.
 
-    The vocabulary drops white space and splits between words before merging, and its normaliser works within a word, so the
-    ids of a text are those of its words in turn. At most `most` words are remembered.
+    The vocabulary lower-cases, drops white space and splits between words before merging, and its normaliser works within a word, so the
+    ids of a text are those of its words in turn. A word's ids are those of its core and of the punctuation at its end. A core of letters
+    alone goes straight to the merges; anything else takes the whole tokenizer. At most `most` words and cores are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.most = most
+        self.cores: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words not yet known in one batch."""
-        new = [w for w in set(words) if w not in self]
-        if not new:
-            return
+    def learn(self, texts: Iterable[list[bytes]]) -> None:
+        """Encode the words of these texts that aren't known yet."""
+        found = set().union(*texts)
+        new = found.difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(set(words))
-        if len(new) > 64:
-            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        else:
-            encoded = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False) for w in new]
-        for word, e in zip(new, encoded, strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
+            new = found
+        if len(self.cores) > self.most:
+            self.cores.clear()
+        cores = self.cores
+        for word in new:
+            core = word.rstrip(_PUNCTUATION)
+            if core and b"<|" not in word and (core[-1] < 128 or _plain(core)[-1:].isalpha()):
+                tail = word[len(core) :]
+            else:
+                core, tail = word, b""
+            core = core.lower()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._encode(core)
+            if tail:
+                end = cores.get(tail)
+                if end is None:
+                    end = cores[tail] = self._encode(tail)
+                ids += end
+            self[word] = ids
+
+    def _encode(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isascii():
+            if text.isalpha():
+                return np.array([x.id for x in self.merges.tokenize(text)], "<u4").tobytes()
+        elif "Σ" not in text:  # the tokenizer lower-cases each character by itself, Python a final sigma by its place
+            plain = _plain(word)
+            if plain.isalpha():
+                return np.array([x.id for x in self.merges.tokenize(plain.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _KNOWN: dict[str, WordIds] = {}
@@ -46,8 +91,6 @@ _KNOWN: dict[str, WordIds] = {}
 
 def word_ids(path: str) -> WordIds:
     """This worker's ids of a vocabulary, kept from task to task."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _KNOWN:
         _KNOWN[path] = WordIds(path)
