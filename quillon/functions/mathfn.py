@@ -81,7 +81,8 @@ def prime_factors(n: ColumnLike) -> Column:
     start = F.struct(n.alias("left"), F.array().cast("array<struct<p:bigint,n:bigint>>").alias("found")).cast(kind)
 
     def power(left: Column, d: Column) -> Column:
-        return F.size(F.filter(F.sequence(F.lit(1), F.lit(62)), lambda e: (left % F.pow(d.cast("double"), e).cast("long") == 0) & (F.pow(d.cast("double"), e) <= left)))
+        most = F.floor(F.log(left.cast("double")) / F.log(d.cast("double")) + 1e-9).cast("int")
+        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda e: F.coalesce(left % F.pow(d.cast("double"), e).try_cast("long") == 0, F.lit(False))))
 
     def step(acc: Column, d: Column) -> Column:
         times = power(acc["left"], d)

@@ -1,4 +1,260 @@
-"""Queries."""
+"""Queries: scalar functions, strings, sequences, coordinates, similarity, windows, sets."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays, coords, mathfn, sequences, similarity, vectors
+from ..operators import graph, setops, windows
+from .base import RNA_SQL, r6, registry, rna, table
+
+QUERIES, ORACLE_SQL, query = registry()
+
+
+@query("select p_partkey, floor(p_size / 7.0)::bigint as quotient, (p_size % 7)::bigint as remainder, (p_size * p_size)::bigint as square, round(ln(p_retailprice), 6) as ln, round(log2(p_retailprice), 6) as log2, round(log10(p_retailprice), 6) as log10, round(ln(p_retailprice) / ln(3), 6) as log3 from part")
+def arithmetic(spark, sf):
+    d = mathfn.div("p_size", 7)
+    return table(spark, sf, "part").select("p_partkey", d[0].alias("quotient"), d[1].alias("remainder"), mathfn.sqr(F.col("p_size").cast("long")).alias("square"), r6(mathfn.ln("p_retailprice"), "ln"), r6(mathfn.log2("p_retailprice"), "log2"), r6(mathfn.log10("p_retailprice"), "log10"), r6(mathfn.logb(3, "p_retailprice"), "log3"))
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(1 / (1 + exp(-l_discount)), 6) as logistic, case when l_discount > 0 and l_discount < 1 then round(log2(l_discount / (1 - l_discount)), 6) end as logit, round(case when l_discount + l_tax <> 0 then l_discount / (l_discount + l_tax) end, 6) as ratio from lineitem")
+def logistic_logit(spark, sf):
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return table(spark, sf, "lineitem").select(*keys, r6(mathfn.logistic("l_discount"), "logistic"), r6(mathfn.logit("l_discount"), "logit"), r6(mathfn.ratio("l_discount", "l_tax"), "ratio"))
+
+
+@query("""with n as (select n_nationkey::int as n from nation), k as (select n, unnest(range(0, n + 2))::int as k from n)
+select n, k, (case when n < 20 then factorial(n)::varchar end) as f, case when k > n then '0' else round(factorial(n)::double / (factorial(k)::double * factorial(n - k)::double))::bigint::varchar end as c from k""")
+def factorials_choose(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n") + 1)).alias("k"))
+    return rows.select("n", "k", F.when(F.col("n") < 20, mathfn.factorial("n").cast("string")).alias("f"), mathfn.choose("n", "k").cast("string").alias("c"))
+
+
+@query("""with n as (select distinct p_size::bigint as n from part), d as (select n, unnest(range(2, n)) as d from n) select n, n >= 2 and not exists (select 1 from d where d.n = n.n and n.n % d.d = 0) as prime from n""")
+def primes(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_size").cast("long").alias("n")).distinct().select("n", mathfn.is_prime("n").alias("prime"))
+
+
+@query("""with n as (select distinct p_partkey::bigint as n from part where p_partkey between 2 and 500), p as (select unnest(range(2, 501)) as p), q as (select p from p a where not exists (select 1 from p b where b.p < a.p and a.p % b.p = 0)),
+e as (select unnest(range(1, 10)) as e), f as (select n, p, count(*) as m from n, q, e where n % try_cast(pow(p, e) as bigint) = 0 and pow(p, e) <= n group by 1, 2) select n, string_agg(p::varchar || '^' || m::varchar, ' ' order by p) as factors from f group by 1""")
+def prime_factors(spark, sf):
+    rows = table(spark, sf, "part").filter("p_partkey between 2 and 500").select(F.col("p_partkey").cast("long").alias("n")).distinct()
+    text = F.array_join(F.transform(mathfn.prime_factors("n"), lambda x: F.concat(x["p"].cast("string"), F.lit("^"), x["n"].cast("string"))), " ")
+    return rows.select("n", text.alias("factors"))
+
+
+@query("""with k as (select n_nationkey::int as k from nation) select k, round(exp(-8) * pow(8, k) / factorial(least(k, 20))::double * case when k > 20 then 1 / (select product(x) from unnest(range(21, k + 1)) t(x)) else 1 end, 9) as poisson,
+round(pow(0.7, k) * 0.3, 9) as geometric, round((select sum(exp(-8) * pow(8, j) / factorial(j::int)::double) from unnest(range(0, least(k, 20))) t(j)), 9) as cdf from k where k between 1 and 20""")
+def distributions(spark, sf):
+    rows = table(spark, sf, "nation").filter("n_nationkey between 1 and 20").select(F.col("n_nationkey").cast("int").alias("k"))
+    return rows.select("k", F.round(mathfn.poisson_pdf("k", 8.0), 9).alias("poisson"), F.round(mathfn.geometric_pdf("k", 0.3), 9).alias("geometric"), F.round(mathfn.poisson_cdf(F.lit(0), "k", 8.0), 9).alias("cdf"))
+
+
+@query("""with k as (select unnest(range(1, 16))::int as k) select k, round(factorial(15)::double / (factorial(k)::double * factorial(15 - k)::double) * pow(0.4, k) * pow(0.6, 15 - k), 9) as p from k""")
+def binomial_dist(spark, sf):
+    return spark.range(1, 16).select(F.col("id").cast("int").alias("k")).select("k", F.round(mathfn.binomial_pdf("k", F.lit(15), 0.4), 9).alias("p"))
+
+
+_VECS = "with v as (select a.vec_id as i, b.vec_id as j, a.embedding::double[] as a, b.embedding::double[] as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1) "
+
+
+@query(_VECS + "select i, j, round(list_inner_product(a, b), 5) as dot, round(sqrt(list_inner_product(a, a)), 5) as norm, round(list_cosine_similarity(a, b), 5) as cosine, round(abs(list_cosine_similarity(a, b) - 1), 5) as angle, round(list_distance(a, b), 5) as euclid from v")
+def vector_metrics(spark, sf):
+    e = table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("i"), F.col("vec_id").alias("j"), F.col("embedding").alias("b")), "i")
+    five = lambda c, n: (F.round(c, 5) + 0.0).alias(n)
+    return v.select("i", "j", five(vectors.dot("a", "b"), "dot"), five(vectors.norm("a"), "norm"), five(vectors.cosine("a", "b"), "cosine"), five(vectors.angle_distance("a", "b"), "angle"), five(vectors.euclid("a", "b"), "euclid"))
+
+
+@query("select label, k::int as k, round(avg(x), 5) as mean from (select label, unnest(embedding)::double as x, unnest(range(len(embedding))) as k from embeddings) group by 1, 2")
+def mean_vectors(spark, sf):
+    m = table(spark, sf, "embeddings").groupBy("label").agg(vectors.mean_vector("embedding").alias("m"))
+    return m.select("label", F.posexplode("m").alias("k", "x")).select("label", "k", (F.round("x", 5) + 0.0).alias("mean"))
+
+
+_Q = f"with s as (select doc_id, text, {RNA_SQL} as q from documents) "
+
+
+@query(_Q + "select doc_id, translate(reverse(q), 'ACGU', 'UGCA') as rc from s where contains(q, 'U')")
+def reverse_complement(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", rna().alias("q")).filter(F.contains("q", F.lit("U")))
+    return rows.select("doc_id", sequences.reverse_complement("q").alias("rc"))
+
+
+@query("select doc_id, round((length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double, 6) as gaps, replace(replace(s, '.', ''), '-', '') as degapped from (select doc_id, substr(text, 1, 200) as s from documents) where length(s) > 0 and (length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double < 0.02")
+def filter_pgap(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("s"))
+    return rows.filter(sequences.gap_fraction("s") < 0.02).select("doc_id", r6(sequences.gap_fraction("s"), "gaps"), sequences.degap("s").alias("degapped"))
+
+
+@query(_Q + "select doc_id, translate(q, 'AGCUT', 'RRYYY') as ry from s")
+def ry_translate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", rna().alias("q")).select("doc_id", sequences.translated("q").alias("ry"))
+
+
+_CODONS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in sequences.codon_map().items()) + "}"
+
+
+@query(_Q + f", c as (select doc_id, substring(q, 1, (length(q) // 3) * 3) as q from s where length(q) >= 6) select doc_id, array_to_string(list_transform(range(1, length(q) - 3, 3), lambda i: element_at({_CODONS}, substring(q, i::bigint, 3))[1]), '') as aa from c")
+def codon_translate(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", rna().alias("q")).filter(F.length("q") >= 6)
+    return rows.select("doc_id", F.expr("substring(q, 1, (length(q) div 3) * 3)").alias("q")).select("doc_id", sequences.amino_acids("q").alias("aa"))
+
+
+@query("select p_partkey, array_to_string(list_transform(range(1, length(p_name) + 1, 3), lambda i: substring(p_name, i, 5)), '|') as parts from part")
+def partition_stg(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.array_join(sequences.chunks("p_name", 5, 3), "|").alias("parts"))
+
+
+_ENTRY = "(o_custkey::varchar || '/' || (date_diff('day', date '1990-01-01', o_orderdate::date))::varchar || '-' || (date_diff('day', date '1990-01-01', o_orderdate::date) + (o_orderkey % 50))::varchar || case when o_orderkey % 2 = 0 then '/1' else '/-1' end)"
+
+
+def _entries(spark, sf):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
+    strand = F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("-1")
+    return table(spark, sf, "orders").select("o_orderkey", coords.make_entry(F.col("o_custkey").cast("string"), day, day + (F.col("o_orderkey") % 50).cast("int"), strand).alias("entry"))
+
+
+@query(f"with e as (select o_orderkey, {_ENTRY} as e from orders) select o_orderkey, split_part(e, '/', 1) as name, split_part(split_part(e, '/', 2), '-', 1)::bigint as start, split_part(split_part(e, '/', 2), '-', 2)::bigint + 5 as \"end\", split_part(e, '/', 3) as strand from e")
+def entry_parts(spark, sf):
+    return _entries(spark, sf).select("o_orderkey", coords.entry_parts("entry", 0, 5).alias("p")).select("o_orderkey", "p.*")
+
+
+@query(f"with e as (select o_orderkey, {_ENTRY} as e from orders), p as (select o_orderkey, split_part(split_part(e, '/', 2), '-', 1)::bigint as s, split_part(split_part(e, '/', 2), '-', 2)::bigint as t, split_part(e, '/', 3) as d from e) select o_orderkey, greatest(case when d = '-1' then s - 30 else s - ceil((t - s + 1) / 4.0) end, 1)::bigint as start, (case when d = '-1' then t + ceil((t - s + 1) / 4.0) else t + 30 end)::bigint as \"end\" from p")
+def context_windows(spark, sf):
+    rows = _entries(spark, sf).select("o_orderkey", coords.entry_parts("entry").alias("p"))
+    return rows.select("o_orderkey", coords.context_window("p.start", "p.end", "p.strand", 30).alias("w")).select("o_orderkey", "w.*")
+
+
+_PAIRS = "with p as (select a.p_partkey as i, b.p_partkey as j, a.p_name as a, b.p_name as b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey) "
+
+
+def _part_pairs(spark, sf):
+    p = table(spark, sf, "part")
+    a = p.select("p_brand", "p_type", F.col("p_partkey").alias("i"), F.col("p_name").alias("a"))
+    b = p.select("p_brand", "p_type", F.col("p_partkey").alias("j"), F.col("p_name").alias("b"))
+    return a.join(b, ["p_brand", "p_type"]).filter("i < j").select("i", "j", "a", "b")
+
+
+@query(_PAIRS + "select i, j, levenshtein(a, b)::int as d from p")
+def levenshtein_pairs(spark, sf):
+    return _part_pairs(spark, sf).select("i", "j", similarity.levenshtein("a", "b").alias("d"))
+
+
+_G = "list_distinct(flatten(list_transform(string_split({}, ' '), lambda w: list_transform(range(1, greatest(length(w), 1)), lambda k: substring(w, k, 2)))))"
+
+
+@query(_PAIRS + f", g as (select i, j, {_G.format('a')} as x, {_G.format('b')} as y from p) select i, j, round(2 * len(list_intersect(x, y)) / (len(x) + len(y))::double, 6) as score from g")
+def ngram_compare_pairs(spark, sf):
+    return _part_pairs(spark, sf).select("i", "j", r6(similarity.ngram_compare("a", "b"), "score"))
+
+
+@query(_PAIRS + """, g as (select i, j, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from p), m as (select i, j, len(x) as x, len(y) as y, len(list_intersect(x, y)) as m from g)
+select i, j, round(m / (x + y - m)::double, 6) as jaccard, round(1 - m / (x + y - m)::double, 6) as jaccard_distance, round(2 * m / (x + y)::double, 6) as dice, round(m / (m + 0.3 * (x - m) + 0.7 * (y - m))::double, 6) as tversky from m""")
+def set_similarities(spark, sf):
+    x, y = F.split("a", " "), F.split("b", " ")
+    return _part_pairs(spark, sf).select("i", "j", r6(similarity.jaccard(x, y), "jaccard"), r6(similarity.jaccard_distance(x, y), "jaccard_distance"), r6(similarity.dice(x, y), "dice"), r6(similarity.tversky(x, y, 0.3, 0.7), "tversky"))
+
+
+@query(_PAIRS + "select i, j, length(b) > 0.7 * length(a) and abs(levenshtein(a, b) - length(a)) / length(a)::double >= 0.5 as toss from p")
+def edist_toss_keep(spark, sf):
+    return _part_pairs(spark, sf).select("i", "j", similarity.redundant("a", "b", identity=0.5).alias("toss"))
+
+
+@query("select item, levenshtein(item, 'PROMO BRUSHED TIN')::int as d from (select distinct p_type as item from part) where levenshtein(item, 'PROMO BRUSHED TIN') <= 25 order by d, item limit 10")
+def threshold_search_topk(spark, sf):
+    return graph.threshold_search(table(spark, sf, "part"), "p_type", "PROMO BRUSHED TIN", 25, 10)
+
+
+@query("select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id), 4) as running from events")
+def cumsum_events(spark, sf):
+    rows = windows.running_sum(table(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"])
+    return rows.select("event_id", "user_id", (F.round("running", 4) + 0.0).alias("running"))
+
+
+@query("select o_orderkey, case when row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1 then o_custkey::varchar else o_custkey::varchar || '/' || (row_number() over (partition by o_custkey order by o_orderdate, o_orderkey))::varchar end as unique_name from orders")
+def suffix_duplicates(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("name", F.col("o_custkey").cast("string"))
+    return windows.suffix_duplicates(rows, "name", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "unique_name")
+
+
+_BINS = "with b as (select round(value / 1000.0 + 0.0001, 3) as bin, count(*) as n from events where value is not null group by 1), c as (select bin, n, n / (sum(n) over ())::double as p, sum(n) over (order by bin) / (sum(n) over ())::double as cdf from b) "
+
+
+def _scored(spark, sf):
+    return table(spark, sf, "events").filter("value is not null").select((F.col("value") / 1000.0).alias("s"))
+
+
+@query(_BINS + "select round(bin, 6) as bin, n, round(p, 6) as p, round(cdf, 6) as cdf from c")
+def empirical_cdf(spark, sf):
+    return windows.empirical_cdf(_scored(spark, sf), "s").select(r6(F.col("bin"), "bin"), "n", r6(F.col("p"), "p"), r6(F.col("cdf"), "cdf"))
+
+
+@query(_BINS + ", k as (select coalesce(max(bin) filter (bin <= 0.9 and cdf <= 0.8), case when min(bin) <= 0.9 then min(bin) end) as cutoff from c) select round(cutoff, 6) as cutoff, (select count(*) from events where value / 1000.0 <= cutoff) as n from k")
+def cdf_cutpoint(spark, sf):
+    return windows.cdf_cut(_scored(spark, sf), "s", 0.3, 0.9).select(r6(F.col("cutoff"), "cutoff"), "n")
+
+
+@query("select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) = 1")
+def best_per_key(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return windows.best_per_key(rows, ["o_custkey"], "o_totalprice", ["o_orderkey"])
+
+
+@query("select o_custkey, o_orderkey, (row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey))::int as rank from orders qualify rank <= 3")
+def top_k_per_key(spark, sf):
+    return windows.first_k(table(spark, sf, "orders"), ["o_custkey"], 3, [F.desc("o_totalprice"), "o_orderkey"]).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("select s_suppkey, rank::int as rank, rank <= 10 or rank > n - 10 as positive from (select s_suppkey, row_number() over (order by s_acctbal, s_suppkey) as rank, count(*) over () as n from supplier)")
+def pos_neg_sets(spark, sf):
+    return windows.split_ranked(table(spark, sf, "supplier"), ["s_acctbal", "s_suppkey"], 10, "both").select("s_suppkey", "rank", "positive")
+
+
+@query("select p_type, p_partkey, round(pow(p_size / 51.0, ln(1 + p_partkey)), 12) as value from part where p_partkey <= 100 order by value, p_partkey limit 10")
+def score_context(spark, sf):
+    rows = table(spark, sf, "part").filter("p_partkey <= 100").select("p_type", "p_partkey", (F.col("p_size") / 51.0).alias("s"), (1 + F.col("p_partkey")).alias("len"))
+    return windows.ranked_power(rows, "s", "len").select("p_type", "p_partkey", F.round("value", 12).alias("value"))
+
+
+_SETS = "with a as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT'), b as (select distinct o_custkey from orders where o_orderdate >= timestamp '2000-06-01'), c as (select distinct o_custkey from orders where o_totalprice > 450000) "
+
+
+def _sets(spark, sf):
+    o = table(spark, sf, "orders")
+    return [o.filter(c).select("o_custkey") for c in ("o_orderpriority = '1-URGENT'", "o_orderdate >= timestamp '2000-06-01'", "o_totalprice > 450000")]
+
+
+@query(_SETS + "select * from a union select * from b union select * from c")
+def set_union(spark, sf):
+    return setops.union(*_sets(spark, sf))
+
+
+@query(_SETS + "select * from a intersect select * from b intersect select * from c")
+def set_intersect(spark, sf):
+    return setops.intersect(*_sets(spark, sf))
+
+
+@query(_SETS + "select * from a except select * from b except select * from c")
+def set_difference(spark, sf):
+    return setops.difference(*_sets(spark, sf))
+
+
+@query("select p_partkey, p_words[3] as third, array_to_string(list_filter(range(len(p_words)), lambda i: p_words[i + 1] = 'ring'), ',') as at, len(p_words)::int as n from (select p_partkey, string_split(p_name, ' ') as p_words from part)")
+def array_positions(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    return rows.select("p_partkey", arrays.third("w").alias("third"), F.array_join(F.transform(arrays.positions("w", "ring"), lambda i: i.cast("string")), ",").alias("at"), F.size("w").alias("n"))
+
+
+@query("select p_partkey, w[1] || w[2] || '|' || w[1] || w[3] || '|' || w[2] || w[3] as pairs from (select p_partkey, string_split(p_type || ' ' || p_brand || ' ' || p_size, ' ')[1:3] as w from part) where len(w) = 3")
+def array_combinations(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.slice(F.split(F.concat_ws(" ", "p_type", "p_brand", F.col("p_size").cast("string")), " "), 1, 3).alias("w")).filter("size(w) = 3")
+    return rows.select("p_partkey", F.array_join(F.transform(arrays.combinations("w", 2), lambda c: F.array_join(c, "")), "|").alias("pairs"))
+
+
+@query()
+def random_sequences(spark, sf):
+    """Seeded random sequences, one for each supplier, and how often a 3-mer occurs in each."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    rows = rows.select("id", sequences.random_sequence("ACGU", 200, 7).alias("seq"))
+    return rows.select("id", "seq", F.size(F.filter(similarity.ngrams("seq", 3), lambda g: g == "UAU")).alias("hits"))
