@@ -21,6 +21,7 @@ DIMENSIONS = 1 << 13
 LANDMARKS = 160
 #: Labelled rows of a language that fitting takes at most; what the driver holds grows with the number of languages only.
 PER_LANGUAGE = 300
+BROADCAST_LANGUAGES = 10_000
 RIDGE = 1e-2
 SHARPNESS = 6.0
 _LETTER = regex.compile(r"\p{L}")
@@ -71,6 +72,8 @@ def labelled_sample(docs: DataFrame, per_language: int) -> list[tuple[bytes, str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     rows = rows.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    if counts.count() <= BROADCAST_LANGUAGES:  # else texts would be dealt out by language, a few huge tasks
+        counts = F.broadcast(counts)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = rows.join(counts, "lang").filter(place < F.lit(1.5 * per_language * (1 << 30)) / F.col("_n")).withColumn("_place", place)
     taken: dict[str, int] = {}
