@@ -83,36 +83,30 @@ def upstream_region(hits: DataFrame, genes: DataFrame, keys: Sequence[str], up:
     return near.select(*hits.columns, begin.cast("long").alias("region_start"), (F.col("at") + down).cast("long").alias("region_end"))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, node: str = "node", left: str = "left_value", right: str = "right_value") -> DataFrame:
-    """(root, node) for every node of each root's subtree in a nested-set table.
+def descendants(nodes: DataFrame, roots: DataFrame, node: str = "node", left: str = "left_value", right: str = "right_value", width: int = 1024) -> DataFrame:
+    """(root, node) for every node of each root's subtree in a nested-set table, the root itself included.
 
-    Nested intervals meet or hold each other wholly, so a node's ancestors are found level by level along parents instead of by a range
-    join: the parent is the nearest open interval, which one window over sorted boundaries yields as the depth-first stack.
+    A node is below a root if its left boundary lies within the root's. Roots are put into all bins of `width` numbers that they span, nodes into
+    their own bin, and the two are joined on the bin.
     """
-    parents = nested_parents(nodes, node, left, right)
-    frontier = roots.select(F.col(node).alias("root"), F.col(node))
-    out, step = frontier, frontier
-    while True:
-        step = step.join(parents.select(F.col(node).alias("_child"), F.col("parent").alias(node)), node).select("root", F.col("_child").alias(node))
-        if not step.limit(1).count():
-            return out
-        out = out.union(step)
+    spans = nodes.join(roots.select(node), node, "left_semi").select(F.col(node).alias("root"), F.col(left).alias("from"), F.col(right).alias("to"))
+    at = nodes.select(node, F.col(left).alias("start"), F.col(left).alias("end"))
+    return containment_join(at, spans, [], width).select("root", node)
 
 
 def nested_parents(nodes: DataFrame, node: str = "node", left: str = "left_value", right: str = "right_value") -> DataFrame:
-    """(node, parent) of a nested-set table with consecutive boundary numbers.
+    """(node, parent) of a nested-set table: depths from a running count of open intervals, then the last node opened one level up.
 
-    A child's left boundary is one more than either its parent's left or an elder sibling's right: pointer jumping along siblings ends at the parent.
+    The running count sorts the whole tree, whose size is that of a taxonomy.
     """
-    n = nodes.select(F.col(node), F.col(left).alias("_l"), F.col(right).alias("_r"))
-    first = n.select(F.col(node).alias("parent"), (F.col("_l") + 1).alias("_l"))
-    known = n.join(first, "_l").select(node, "parent", "_r")
-    out, step = known.select(node, "parent"), known
-    while True:
-        step = n.join(step.select("parent", (F.col("_r") + 1).alias("_l")), "_l").select(node, "parent", "_r")
-        if not step.limit(1).count():
-            return out
-        out = out.union(step.select(node, "parent"))
+    n = nodes.select(F.col(node).alias("node"), F.col(left).alias("lo"), F.col(right).alias("hi"))
+    ends = n.select("node", F.col("lo").alias("at"), F.lit(1).alias("step")).union(n.select("node", "hi", F.lit(-1)))
+    depth = ends.withColumn("depth", F.sum("step").over(Window.orderBy("at"))).filter("step = 1").select("node", "at", "depth")
+    above = depth.select(F.col("depth").alias("level"), "at", F.col("node").alias("parent"), F.lit(None).cast(n.schema["node"].dataType).alias("node"))
+    below = depth.select((F.col("depth") - 1).alias("level"), "at", F.lit(None).cast(n.schema["node"].dataType).alias("parent"), "node")
+    w = Window.partitionBy("level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    found = above.union(below).withColumn("parent", F.last("parent", ignorenulls=True).over(w))
+    return found.filter("node is not null and parent is not null").select(F.col("node").alias(node), "parent")
 
 
 def subtree(nodes: DataFrame, low: int, high: int, left: str = "left_value", right: str = "right_value", leaves: bool = False) -> DataFrame:
