@@ -1 +1 @@
-
+"""Readers and writers of sequence, alignment, hit, annotation and taxonomy files."""
