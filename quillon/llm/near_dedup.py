@@ -165,11 +165,29 @@ def _agreements(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stars(tokens: np.ndarray, tries: int = 256) -> Iterator[tuple[int, int]]:
+    """(leader, follower) positions in a large node: the least member leads all strong candidates of its own, the least of the rest theirs, and so on.
+
+    Trees share leaders this way, so a group of copies yields few pairs however many trees see it.
+    """
+    free = np.ones(len(tokens), bool)
+    for i in range(len(tokens)):
+        if not free[i]:
+            continue
+        found = i + 1 + np.flatnonzero(((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= STRONG) & free[i + 1 :])
+        yield from ((i, int(j)) for j in found)
+        free[found] = False
+        tries -= 1
+        if not tries:
+            return
+
+
 def compare_nodes(members: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, id, sketch) sorted by node to candidate pairs.
 
     A node with few candidates yields all of them. A dense one yields, for each member, its least strong partner
-    (or its best), and its members under `dense` for the second round. Rows: (a, b, dense, sketch).
+    (or its best), and its members under `dense` for the second round. A large node yields its stars, and the small nodes
+    below it for the second round. Rows: (a, b, dense, sketch).
     """
 
     def flush(node: int, ids: list, sketches: list, out: list) -> None:
@@ -178,16 +196,19 @@ def compare_nodes(members: DataFrame, small: int = SMALL) -> DataFrame:
             return
         keys = np.array(ids, np.int64)[order]
         tokens = np.frombuffer(b"".join(sketches[i] for i in order), np.uint32).reshape(-1, SKETCH)
+        large = len(keys) > small
+        if large:
+            out.extend((int(keys[i]), int(keys[j]), 0, None) for i, j in _stars(tokens))
         for nth, leaf in enumerate(_leaves(node, tokens, keys, small)):
             own = np.sort(leaf)
             same = np.triu(_agreements(tokens[own]), 1)
             pairs = np.argwhere(same >= AGREE)
             if not len(pairs):
                 continue
-            if len(pairs) <= 4 * len(own):
+            if not large and len(pairs) <= 4 * len(own):
                 out.extend((int(keys[own[i]]), int(keys[own[j]]), 0, None) for i, j in pairs)
                 continue
-            for j in range(1, len(own)):
+            for j in range(1, 0 if large else len(own)):
                 near = same[:j, j]
                 strong = np.flatnonzero(near >= STRONG)
                 i = strong[0] if len(strong) else int(near.argmax())
