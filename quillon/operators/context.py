@@ -152,3 +152,40 @@ def neighbour_counts(n: int) -> list[int]:
 def merge_by_size(clusters: DataFrame) -> DataFrame:
     """Clusters (cluster, size, members) of equal context size, together."""
     return clusters.groupBy("size").agg(F.sort_array(F.collect_set("cluster")).alias("clusters"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
+
+
+def saved_sizes(annotations: DataFrame) -> DataFrame:
+    """(file, size) from the CTXSZ header of alignments."""
+    rows = annotations.filter((F.col("tag") == "GF") & (F.upper("key") == "CTXSZ"))
+    return rows.groupBy("file").agg(F.max(F.regexp_extract("value", r"([0-9]+)", 1).try_cast("int")).alias("size"))
+
+
+def annotation_size(hits: DataFrame, features: DataFrame, margin: int = 0) -> DataFrame:
+    """(name, size): the distance from each hit to the nearest feature end past it, plus a margin, rounded up to a hundred."""
+    from .intervals import nearest_before
+
+    mirrored = hits.select("name", (-F.col("end")).alias("at"))
+    ends = features.select("name", (-F.col("end")).alias("mark"))
+    near = nearest_before(mirrored, ends, ["name"], "at", "mark")
+    return near.filter("nearest is not null").select("name", (F.ceil((F.col("at") - F.col("nearest") + margin) / 100) * 100).alias("size"))
+
+
+def write_clusters(sequences: DataFrame, clusters: DataFrame, path: str) -> None:
+    """Sequences (key, seq) in one folder for each cluster."""
+    rows = sequences.join(clusters, "key").select("cluster", F.concat(F.lit(">"), F.col("key").cast("string"), F.lit("\n"), "seq").alias("value"))
+    rows.write.mode("overwrite").partitionBy("cluster").text(path)
+
+
+def aggregate(all_entries: DataFrame, *accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries that any cluster accepted, and the others."""
+    from .setops import difference, union
+
+    good = union(*(a.select(*all_entries.columns) for a in accepted))
+    return good, difference(all_entries, good)
+
+
+def compare_rankings(scored: DataFrame, key: str, score: str, evalue: str, cut: int) -> DataFrame:
+    """(both, score_only, evalue_only): how the first `cut` by score and by e-value overlap."""
+    best = lambda c, name: scored.orderBy(c, key).limit(cut).select(key, F.lit(True).alias(name))
+    rows = best(score, "_s").join(best(evalue, "_e"), key, "full_outer")
+    return rows.agg(F.count_if(F.col("_s") & F.col("_e")).alias("both"), F.count_if(F.col("_s") & F.col("_e").isNull()).alias("score_only"), F.count_if(F.col("_e") & F.col("_s").isNull()).alias("evalue_only"))

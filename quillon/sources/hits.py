@@ -198,3 +198,32 @@ def rna_families(annotations: DataFrame) -> DataFrame:
     head = gf.groupBy("file").agg(*(F.max(F.when(F.upper("key") == k, F.col("value"))).alias(k.lower()) for k in keys))
     checked = gf.filter(F.upper("key").isin("VIVO", "VITRO")).select("file", F.explode(F.split("value", r"\s*,\s*")).alias("verified_id"), F.lower("key").alias("how")).distinct()
     return head.join(checked, "file", "left")
+
+
+def match_by_sequence(alignment: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(name, other): aligned rows and candidate entries of equal sequence once gaps are gone and T is U."""
+    plain = lambda c: F.translate(F.upper(c), "T.-", "U")
+    return alignment.select("name", plain("seq").alias("_s")).join(candidates.select(F.col("name").alias("other"), plain("seq").alias("_s")), "_s").select("name", "other")
+
+
+def corrected_coordinates(alignment: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(name, genome, start, end, strand, status) of aligned rows by exact search of their sequence in their own genome: same, moved or missing."""
+    from ..functions.coords import entry_parts
+    from ..functions.sequences import reverse_complement
+
+    plain = lambda c: F.translate(F.upper(c), "U.-", "T")
+    rows = alignment.select("name", entry_parts("name").alias("p"), plain("seq").alias("s")).withColumn("genome", F.col("p.name"))
+    rows = rows.join(genomes.select(F.col("name").alias("genome"), plain("seq").alias("g")), "genome", "left")
+    forward, backward = F.instr("g", F.col("s")), F.instr("g", reverse_complement("s"))
+    at = F.when(forward > 0, forward).when(backward > 0, backward).cast("long")
+    rows = rows.select("name", "genome", "p", at.alias("start"), (at + F.length("s") - 1).alias("end"), F.when(forward > 0, "1").when(backward > 0, "-1").alias("strand"))
+    same = (F.col("start") == F.col("p.start")) & (F.col("end") == F.col("p.end")) & (F.col("strand") == F.col("p.strand"))
+    return rows.select("name", "genome", "start", "end", "strand", F.when(F.col("start").isNull(), "missing").when(same, "same").otherwise("moved").alias("status"))
+
+
+def renamed(alignment: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
+    """alignment with `new_name`: one candidate of equal sequence by a seeded draw, null without any."""
+    from ..operators.relational import stratified_sample
+
+    picked = stratified_sample(match_by_sequence(alignment, candidates), ["name"], 1, seed, "other").withColumnRenamed("other", "new_name")
+    return alignment.join(picked, "name", "left")
