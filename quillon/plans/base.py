@@ -37,7 +37,12 @@ ALIGNED_SQL = f"regexp_replace(translate(lower(substr(text, 1, 60)), '{LETTERS}'
 
 
 def rna(text: str = "text") -> Column:
-    return F.regexp_replace(F.translate(F.lower(F.substring(text, 1, 120)), LETTERS, BASES), "[^ACGU]", "")
+    """The first 120 characters only, as RNA_SQL has them."""
+    return whole_rna(F.substring(text, 1, 120))
+
+
+def whole_rna(text: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGU]", "")
 
 
 def aligned(text: str = "text") -> Column:

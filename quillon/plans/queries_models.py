@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, context, phylo, scoring, windows
-from .base import RNA_SQL, r6, registry, rna, table
+from .base import RNA_SQL, r6, registry, rna, table, whole_rna
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -172,7 +172,7 @@ def profile_distances(spark, sf):
 
 @query()
 def candidate_filter(spark, sf):
-    s = _seqs(spark, sf)
+    s = table(spark, sf, "documents").select("doc_id", whole_rna(F.col("text")).alias("q"))
     return context.candidate_filter(s.filter("doc_id % 2 = 0"), s.filter("doc_id % 2 = 1"), "q", 3, "doc_id", 1, 100).select("doc_id", r6(F.col("re"), "re"), "good")
 
 
@@ -184,7 +184,7 @@ def greedy_nonredundant(spark, sf):
 
 @query()
 def dinuc_shuffle(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.substring(rna(), 1, 60).alias("q"))
+    rows = table(spark, sf, "documents").select("doc_id", whole_rna(F.col("text")).alias("q"))
     return phylo.shuffles(rows, "q", 2, 3)
 
 
