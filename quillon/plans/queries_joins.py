@@ -187,6 +187,6 @@ def setops_with_seqs(spark, sf):
     from .queries_scalars import _entries
     from ..functions.coords import entry_parts
 
-    e = _entries(spark, sf).filter("o_orderkey < 500").select(entry_parts("entry").alias("p")).select("p.*")
+    e = _entries(spark, sf).select(entry_parts("entry").alias("p")).select("p.*")
     g = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"))
     return setops.set_operation("union", e, mode="seqs", genomes=g)

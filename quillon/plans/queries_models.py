@@ -10,10 +10,6 @@ from .base import RNA_SQL, r6, registry, rna, table, whole_rna
 QUERIES, ORACLE_SQL, query = registry()
 
 
-def _points(spark, sf):
-    return table(spark, sf, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-
-
 def _all_points(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
 
@@ -99,7 +95,7 @@ def kmeans_fixed(spark, sf):
 
 @query()
 def krnn_clusters(spark, sf):
-    return cluster.krnn_clusters(_points(spark, sf), 4, block="label")
+    return cluster.krnn_clusters(_all_points(spark, sf), 4, block="label")
 
 
 _CUTS = [100.0 * k for k in range(1, 26)]

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+from quillon.plans import queries_joins as joins
 from quillon.plans import queries_models as models
 from quillon.plans.base import BASES, LETTERS
 
@@ -33,3 +34,22 @@ def test_candidate_filter_scores_whole_texts(spark, tmp_path):
     write_texts(spark, tmp_path, [head + prose(10 + i, 300) for i in range(8)])
     scores = [r["re"] for r in models.candidate_filter(spark, str(tmp_path)).collect()]
     assert len(scores) == 4 and len(set(scores)) == 4 and all(math.isfinite(s) for s in scores)
+
+
+def test_krnn_clusters_takes_every_vector(spark, tmp_path):
+    draw = random.Random(4)
+    vectors = [(190 + i, [draw.gauss(9.0 * (i % 3), 1.0) for _ in range(3)], 0) for i in range(30)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    clusters = {r["id"]: r["cluster"] for r in models.krnn_clusters(spark, str(tmp_path)).collect()}
+    assert max(clusters) >= 200 and all(a == b or (i - j) % 3 for i, a in clusters.items() for j, b in clusters.items() if a != b)
+
+
+def test_setops_with_seqs_takes_every_order(spark, tmp_path):
+    orders = [(k, 1, f"1990-01-{10 + k % 9}") for k in (2, 499, 500, 1200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    text = prose(2, 300)
+    write_texts(spark, tmp_path, ["", text])
+    rows = joins.setops_with_seqs(spark, str(tmp_path)).collect()
+    day = lambda k: 9 + k % 9
+    assert {(r["start"], r["end"]) for r in rows} == {(day(k), day(k) + k % 50) for k, _, _ in orders}
+    assert all(r["seq"] == text[r["start"] - 1 : r["end"]] for r in rows if r["strand"] == "1")
