@@ -1,6 +1,6 @@
 """Personal data by patterns and information-theoretic sanitisation (operator 3). Only DataFrame expressions are used.
 
-Patterns find protected entities. Words near an entity are candidates for disclosing it: over the corpus, a term t
+Patterns find protected entities. Words of a document with an entity are candidates for disclosing it: over the corpus, a term t
 reveals an entity e when their pointwise mutual information is close to the information of the entity itself,
 log2 P(e | t) / P(e) >= share * -log2 P(e). Such terms are removed from every document with the entity. Copies of one context
 count once as evidence, and a term needs several different contexts.
@@ -22,7 +22,9 @@ KINDS = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-#: Words on either side of an entity that are its context, and the characters read for them.
+#: Stands for a base span where the words around it are read.
+_BLANK = "\uffff"
+#: Words on either side of an entity whose different surroundings count as evidence within one document too, and the characters read for them.
 NEAR, READ = 4, 96
 #: Share of an entity's information that a term must reveal, and the different contexts that must show it.
 DISCLOSURE, CONTEXTS = 0.9, 3
@@ -83,35 +85,52 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
+def free_words(text: Column, base: Column) -> Column:
+    """The distinct lower-case words of a text that no base span touches."""
+    letters = r"[\p{L}\p{M}\p{N}]"
+    blanked = F.regexp_replace(_cleaned(text, base, F.lit(_BLANK)), rf"(?:(?<!{letters}){letters}++)?+{_BLANK}{letters}*+", " ")
+    return F.array_distinct(_words(F.when(F.size(base) > 0, blanked).otherwise(text)))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     """(doc_id, terms): the terms to remove from each document, None if the corpus has none.
 
-    rows: doc_id, text, base. One pass counts, for each entity, how many documents have it and in how many different contexts each
-    near word is found; a second counts the documents of the words that have enough.
+    rows: doc_id, text, base. Each word of a document with an entity is a candidate, wherever it stands outside the base spans. Evidence are
+    different texts (by the least hash of their 5-word runs, so near copies mostly count once) or different surroundings of the entity
+    with the word near. What can't have enough evidence, or fails already against the documents with entities, isn't counted over the corpus.
     """
     spark = rows.sparkSession
-    seen = rows.filter("size(base) > 0 and doc_id is not null").select("doc_id", "text", F.explode("base").alias("s"))
+    some = rows.filter("size(base) > 0 and doc_id is not null")
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - READ + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(READ)))
     right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(READ))
     near = F.array_distinct(F.concat(F.slice(F.reverse(_words(left)), 1, NEAR), F.slice(_words(right), 1, NEAR)))
-    seen = written(seen.select("doc_id", F.lower("s.value").alias("entity"), near.alias("near"), F.xxhash64(left, right).alias("context")), "pii-entities")
-    pairs = seen.select("entity", F.explode("near").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = pairs.filter((F.col("contexts") >= CONTEXTS) & (F.length("term") > 1) & ~F.contains("entity", F.col("term")))
+    run = _words(F.col("text"))
+    about = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_run") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_run", i, 5))))
+    seen = some.withColumn("_run", run).select("doc_id", "text", about.alias("about"), F.explode("base").alias("s"))
+    seen = written(seen.select("doc_id", "about", F.lower("s.value").alias("entity"), near.alias("near"), F.xxhash64(left, right).alias("context")), "pii-entities")
     total = rows.count()
-    with_entity = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("df_e"))
-    near_docs = seen.select("doc_id", "entity", F.explode("near").alias("term")).distinct()
-    together = near_docs.groupBy("entity", "term").agg(F.count("*").alias("df_te"))
-    around = near_docs.select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df_near"))
     p_e = F.col("df_e") / F.lit(float(total))
     reveals = lambda p_e_t: F.log2(p_e_t / p_e) >= DISCLOSURE * -F.log2(p_e)
-    # documents with the term near some entity are among those with the term, so what fails here fails on the whole corpus
-    pairs = pairs.join(with_entity, "entity").join(together, ["entity", "term"]).join(around, "term").filter((p_e < 1) & reveals(F.col("df_te") / F.col("df_near")))
+    entities = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("df_e"), F.countDistinct("about").alias("texts"), F.countDistinct("context").alias("contexts"))
+    entities = written(entities.filter((F.greatest("texts", "contexts") >= CONTEXTS) & (p_e < 1)).select("entity", "df_e"), "pii-counts")
+    mentions = seen.select("doc_id", "about", "entity").distinct().join(entities, "entity")
+    words = some.select("doc_id", F.explode(free_words(F.col("text"), F.col("base"))).alias("term")).filter(F.length("term") > 1).distinct()
+    words = written(words, "pii-words")
+    around = words.groupBy("term").agg(F.count("*").alias("df_around"))
+    words = words.join(around, "term").join(mentions.select("doc_id").distinct(), "doc_id", "left_semi")
+    # documents with the term and some entity are among those with the term, so what fails here fails on the whole corpus
+    together = mentions.join(words, "doc_id").filter(reveals(F.least(F.col("df_e") / F.col("df_around"), F.lit(1.0))))
+    together = written(together.select("doc_id", "about", "entity", "term", "df_e", "df_around"), "pii-together")
+    close = seen.select("entity", F.explode("near").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
+    pairs = together.groupBy("entity", "term").agg(F.max("df_e").alias("df_e"), F.max("df_around").alias("df_around"), F.countDistinct("doc_id").alias("df_te"), F.countDistinct("about").alias("texts"))
+    pairs = pairs.filter(reveals(F.col("df_te") / F.col("df_around"))).join(close, ["entity", "term"], "left")
+    pairs = pairs.filter(F.greatest("texts", F.coalesce("contexts", F.lit(0))) >= CONTEXTS).filter(~F.contains("entity", F.col("term")))
     strong = written(pairs.select("entity", "term", "df_e", "df_te"), "pii-pairs")
-    n_terms = strong.select("term").distinct().count()
+    terms = strong.select("term").distinct()
+    n_terms = terms.count()
     if not n_terms:
         return None
-    terms = strong.select("term").distinct()
-    words = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    words = rows.select(F.explode(free_words(F.col("text"), F.col("base"))).alias("term"))
     if n_terms <= BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
         df = words.groupBy("term").agg(F.count("*").alias("df"))
@@ -119,9 +138,11 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
         df = words.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
     revealing = strong.join(df, "term").filter(reveals(F.least(F.col("df_te") / F.col("df"), F.lit(1.0))))
     revealing = written(revealing.select("entity", "term"), "pii-revealing")
-    if not revealing.limit(1).count():
+    n_revealing = revealing.count()
+    if not n_revealing:
         return None
-    return written(seen.select("doc_id", "entity").distinct().join(revealing, "entity").groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "pii-doc-terms")
+    by_pair = F.broadcast(revealing) if n_revealing <= BROADCAST_TERMS else revealing
+    return written(together.join(by_pair, ["entity", "term"], "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "pii-doc-terms")
 
 
 def term_spans(rows: DataFrame) -> DataFrame:
@@ -136,13 +157,13 @@ def _report(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _cleaned(text: Column, spans: Column) -> Column:
+def _cleaned(text: Column, spans: Column, mark: Column | None = None) -> Column:
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("tag"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), s["tag"], F.lit("]"))
+        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.concat(F.lit("["), s["tag"], F.lit("]")) if mark is None else mark)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(order, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))

@@ -83,3 +83,16 @@ def test_query_digest(spark, table, tmp_path):
     rows = {r["doc_id"]: r for r in op3_pii(spark, str(tmp_path)).collect()}
     assert rows[0]["base_sha256"] == hashlib.sha256(b"email:0:6").hexdigest() and rows[0]["spans"] == "email:0:6"
     assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_terms_far_from_the_entity_count(spark, table):
+    draw = random.Random(4)
+    filler = lambda n: " ".join(f"w{draw.randrange(500)}" for _ in range(n))
+    texts = [f"Zorblatt heads this letter {filler(120)} write to z@corp.example" for _ in range(6)]
+    texts += [f"{filler(5)} Quibble y@corp.example {filler(60)} Quibble {filler(60)}" for _ in range(3)]
+    texts += [f"Quibble {filler(120)} in the letter write to y@corp.example" for _ in range(12)] + [filler(100) for _ in range(300)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark, table(texts)).collect()}
+    assert all("Zorblatt" not in rows[i]["clean_text"] for i in range(6))
+    assert all("Quibble" not in rows[i]["clean_text"] for i in range(6, 21))
+    assert all("letter" in rows[i]["clean_text"] for i in range(6))
+    assert all("term:" not in rows[i]["spans"] for i in range(21, 321))
