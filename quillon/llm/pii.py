@@ -124,7 +124,7 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     close = seen.select("entity", F.explode("near").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
     pairs = together.groupBy("entity", "term").agg(F.max("df_e").alias("df_e"), F.max("df_around").alias("df_around"), F.countDistinct("doc_id").alias("df_te"), F.countDistinct("about").alias("texts"))
     pairs = pairs.filter(reveals(F.col("df_te") / F.col("df_around"))).join(close, ["entity", "term"], "left")
-    pairs = pairs.filter(F.greatest("texts", F.coalesce("contexts", F.lit(0))) >= CONTEXTS).filter(~F.contains("entity", F.col("term")))
+    pairs = pairs.filter(F.greatest("texts", F.coalesce("contexts", F.lit(0))) >= CONTEXTS)
     strong = written(pairs.select("entity", "term", "df_e", "df_te"), "pii-pairs")
     terms = strong.select("term").distinct()
     n_terms = terms.count()

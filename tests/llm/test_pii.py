@@ -96,3 +96,13 @@ def test_terms_far_from_the_entity_count(spark, table):
     assert all("Quibble" not in rows[i]["clean_text"] for i in range(6, 21))
     assert all("letter" in rows[i]["clean_text"] for i in range(6))
     assert all("term:" not in rows[i]["spans"] for i in range(21, 321))
+
+
+def test_parts_of_the_entity_are_terms(spark, table):
+    draw = random.Random(6)
+    filler = lambda n: " ".join(f"w{draw.randrange(500)}" for _ in range(n))
+    texts = [f"{filler(20)} Alice writes from alice.smith@corp.example {filler(10)}" for _ in range(6)]
+    texts += [f"{filler(20)} corp example {filler(10)}" for _ in range(30)] + [filler(30) for _ in range(100)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark, table(texts)).collect()}
+    assert all("Alice" not in rows[i]["clean_text"] and "[EMAIL]" in rows[i]["clean_text"] for i in range(6))
+    assert all("term:" not in rows[i]["spans"] for i in range(6, 136))
