@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: quality, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns of documents;
-the last returns the pieces and their places. Models are trained here, on what the stage is given.
+the last returns the pieces, their token ids and their places. Models are trained here, on what the stage is given.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(spark, docs)
+    """The pieces of all documents with their token ids, and their places in sequences of 2048 tokens."""
+    return packing.pack(spark, docs, ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("personal_data", personal_data), ("packing", packed)]

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import corpus_pipeline
 
@@ -35,3 +36,8 @@ def test_stages_take_effect(spark, tmp_path):
     row = seen["personal_data"].filter("doc_id = 203").first()
     assert "[EMAIL]" in row["text"] and row["n_chars"] == len(row["text"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_packed_sequences_can_be_built_from_the_result(spark, table):
+    rows = corpus_pipeline.packed(spark, table(["one two three", "four " * 3000, None]), "").collect()
+    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
