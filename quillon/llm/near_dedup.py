@@ -3,8 +3,8 @@
 Each document is the set of its 5-word shingles. Documents with equal sets form a class whose least id stands for
 it. A tree starts by branching the representatives on one minwise token; a node that is too large branches again
 on one or two further minwise tokens chosen from its path (1/threshold branches are expected), and a small node is
-compared exhaustively. Independent trees are repeated until a pair at the threshold is missed with a chance below
-1e-6. Comparison in a node uses sketches; every link is then confirmed on the full sets.
+compared exhaustively. Twelve trees miss a pair at the threshold with a chance of 6e-8 where first-level nodes are small;
+where they must branch further the chance grows with the depth (README). Comparison in a node uses sketches; every link is then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .components import connected_components
 WIDTH = 5
 #: Minwise tokens in a sketch; agreement counts estimate similarity with a standard error of 0.054 at 0.75.
 SKETCH = 64
-#: Agreements that make a pair a candidate: 4.6 standard errors below a similarity of 0.75.
-AGREE = 32
+#: Agreements that make a pair a candidate: a pair at a similarity of 0.75 has fewer with a chance of 6e-9.
+AGREE = 27
 #: Agreements that a strong candidate has.
 STRONG = 54
 #: Agreements with a leader that whatever links to one of its strong candidates has: distances add up to 0.41, less 4.6 standard errors.

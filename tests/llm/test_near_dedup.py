@@ -72,3 +72,11 @@ def test_nulls_repeats_and_empty(spark, table):
     assert got == sorted([(None, None, True), (None, None, True), (4, 4, True), (4, 4, True), (7, 7, True)], key=str)
     assert near_dedup.without_near_duplicates(spark, docs).count() == 4
     assert near_dedup.near_duplicates(spark, table([])).count() == 0
+
+
+def test_unlucky_pairs_at_the_threshold_are_candidates(spark):
+    draw = np.random.default_rng(3)
+    a = draw.integers(0, 1 << 32, near_dedup.SKETCH).astype(np.uint32)
+    b = np.where(np.arange(near_dedup.SKETCH) < 28, a, a + np.uint32(1))  # 28 of 64 agree
+    members = spark.createDataFrame([(5, 1, a.tobytes()), (5, 2, b.tobytes())], "node long, id long, sketch binary")
+    assert [(r["a"], r["b"]) for r in near_dedup.compare_nodes(members).collect()] == [(1, 2)]
