@@ -49,12 +49,12 @@ def forget(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def over_arrow(df: DataFrame, columns: list[str], schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply fn to each Arrow batch of the columns; None yields nothing."""
+def over_arrow(df: DataFrame, columns: list[str], schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = 4 << 20) -> DataFrame:
+    """Apply fn to each Arrow batch of the columns, in slices of about `most` bytes; None yields nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most):
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out

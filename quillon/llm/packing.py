@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import over_arrow, raw, written
-from .tokens import default_vocabulary, word_ids
+from .common import over_arrow, written
+from .tokens import BATCH, Encoded, default_vocabulary, word_ids
 
 CAPACITY = 2048
 #: Nodes that the branch and bound visits for one filling before it settles for its incumbent.
@@ -26,27 +26,27 @@ NODES = 400
 RANKED = 100_000
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each document's ids and a closing 0, cut every `capacity` tokens. A null text counts as empty."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, and ids if asked for): each document's ids and a closing 0, cut every `capacity` tokens. A null text counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = word_ids(path)
-        split = [t.split() if t else [] for t in raw(batch.column(1))]
-        known.learn(split)
-        doc, piece, start, length, ids = [], [], [], [], []
-        step = 4 * capacity
-        for row, words in enumerate(split):
-            packed = b"".join(map(known.__getitem__, words)) + b"\0\0\0\0"
-            for n, at in enumerate(range(0, len(packed), step)):
-                part = packed[at : at + step]
-                doc.append(row)
-                piece.append(n)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                ids.append(part)
-        return pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
-
-    return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, piece int, start long, length long, ids binary", run)
+        flat, bounds = Encoded(batch.column(1), word_ids(path)).ids(0)
+        sizes = np.diff(bounds)
+        n = -(-sizes // capacity)
+        doc = np.repeat(np.arange(len(sizes)), n)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        cuts = np.append(bounds[doc] + start, bounds[-1])
+        packed = memoryview(flat.view(np.uint8))
+        crc = [zlib.crc32(packed[a:b]) for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True)]
+        columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]
+        if ids:
+            columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(flat)]))
+        return pa.record_batch(columns, names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, run, BATCH)
 
 
 def fill(room: int, counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, int]]:
@@ -136,10 +136,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
 
     Null and empty texts are one piece, the closing 0. Repeated rows and null ids are packed like any other. An empty table gives no rows. Other columns are ignored.
     """
-    found = pieces(docs, path or default_vocabulary(), capacity)
-    crc = F.crc32("ids").alias("ids_crc32")
-    keep = ["doc_id", "piece", "start", "length", crc, *(["ids"] if ids else [])]
-    rows = written(found.select(*keep), "packing-pieces")
+    rows = written(pieces(docs, path or default_vocabulary(), capacity, ids), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     steps = places(plan(histogram, capacity)) or [(1, 0, 0, 0, 1, 0)]
     table = spark.createDataFrame(steps, "length long, first long, ranks long, sequence long, k long, place long")
@@ -151,7 +148,3 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("spot.sequence") + F.floor(nth / F.col("spot.k"))).cast("long").alias("sequence_id"),
         (F.col("spot.place") + (nth % F.col("spot.k")) * F.col("length")).cast("long").alias("offset"), *(["ids"] if ids else []),
     )
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
