@@ -63,10 +63,82 @@ def test_rule_counts():
     from quillon.llm.common import WordHashes
 
     text = "é b#\nb c\n\nb c\n*".encode()
-    n, chars, symbols, lines, repeat = quality_rules.measures(text, WordHashes())[:5]
+    n, chars, symbols, lines, repeat = quality_rules.measures(text, WordHashes(), quality_rules.WordMarks())[:5]
     assert (n, chars, symbols, lines, repeat) == (7, 8, 2, 1, 0)
     text = " ".join("abcdefgh" * 2).encode()
-    assert quality_rules.measures(text, WordHashes())[4] == 16
+    assert quality_rules.measures(text, WordHashes(), quality_rules.WordMarks())[4] == 16
+
+
+def brute_counts(text):
+    """The base counts by their definitions, one word at a time."""
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
+
+
+def test_base_counts_against_brute_force(spark):
+    draw = random.Random(6)
+    piece = lambda: draw.choice(["a ", "bc ", "é# ", "\n", "x|y ", "same line here\n", "\t", "\x1f", "\x85", "\u3000z ", "<b> ", "a b c d e f g h i "])
+    texts = ["".join(piece() for _ in range(draw.randint(0, 60))) for _ in range(80)] + [None, "", " \n ", "a " * 3000]
+    rows = [(i, t, "en", 7, 1) for i, t in enumerate(texts)] + [(3, texts[3], None, 7, 1), (None, texts[4], None, 7, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, votes string, n_words long, posterior int")  # extra columns with names of its own
+    got = quality_rules.quality_rules(spark, docs).collect()
+    key = lambda r: (str(r[0]), r[1:])
+    short = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((tuple(r[c] for c in short) for r in got), key=key) == sorted(((i, *brute_counts(t)) for i, t, *_ in rows), key=key)
+    assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) for r in got)
+    assert all(r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5) for r in got)
+
+
+def planted_votes(rates, shares, n, seed):
+    """Votes drawn from a label model: rates[class][rule] are those of (bad, abstain, good)."""
+    draw = np.random.default_rng(seed)
+    truth = draw.choice(len(shares), n, p=shares)
+    steps = np.cumsum(np.array(rates), axis=2)
+    return truth, (draw.random((n, len(rates[0]), 1)) > steps[truth][:, :, :2]).sum(axis=2)
+
+
+def test_rates_are_recovered_without_labels():
+    kinds = (0, 0, 0, 1, 1, 1)
+    good = [(0.02, 0.08, 0.9), (0.15, 0.05, 0.8), (0.05, 0.25, 0.7)] * 2  # the second and fifth rule are noisy
+    own, other = [(0.9, 0.05, 0.05), (0.6, 0.2, 0.2), (0.75, 0.15, 0.1)], [(0.05, 0.1, 0.85), (0.2, 0.1, 0.7), (0.1, 0.2, 0.7)]
+    rates, shares = np.array([good, own + other, other + own]), np.array([0.8, 0.12, 0.08])
+    truth, votes = planted_votes(rates, shares, 40_000, 1)
+    table, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.fit(table, counts.astype(float), kinds)
+    assert np.abs(model.shares - shares).max() < 0.02 and np.abs(model.rates - rates).max() < 0.05
+    planted = quality_rules.LabelModel(shares, rates)
+    for got, expected in zip(model.accuracies(), planted.accuracies(), strict=True):
+        assert np.abs(got - expected).max() < 0.04
+    right = (model.posterior(votes)[:, 0] >= 0.5) == (truth == 0)
+    assert right.mean() > ((votes != 0).all(axis=1) == (truth == 0)).mean() + 0.1  # all-must-pass filtering drops a third of the good ones
+
+
+def test_two_noisy_rules_are_outvoted():
+    kinds = (0, 0, 0, 1, 1, 1)
+    noisy, sound = (0.2, 0.1, 0.7), (0.01, 0.04, 0.95)
+    rates = [[noisy, sound, sound] * 2, [(0.9, 0.05, 0.05)] * 3 + [noisy, sound, sound], [noisy, sound, sound] + [(0.9, 0.05, 0.05)] * 3]
+    _, votes = planted_votes(rates, [0.9, 0.05, 0.05], 20_000, 2)
+    table, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality_rules.fit(table, counts.astype(float), kinds)
+    keeps = lambda *v: model.posterior(np.array([v]))[0, 0] >= 0.5
+    assert keeps(0, 2, 2, 0, 2, 2) and not keeps(0, 0, 2, 2, 2, 2) and not keeps(2, 2, 2, 2, 0, 0)
+
+
+def test_verdict_is_not_all_must_pass(spark, table):
+    draw = random.Random(5)
+    words = lambda n: ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(n)]
+    plain = [" ".join(words(80)) + "." for _ in range(150)]
+    lists = ["\n".join(" ".join(words(4)) for _ in range(25)) for _ in range(12)]  # lines that end in no full stop: one rule alone votes bad
+    junk = [" ".join(w + "$$$" for w in words(60)) for _ in range(12)] + [" ".join(w.upper() + "!!" for w in words(60)) for _ in range(12)]
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(spark, table(plain + lists + junk)).collect()}
+    kept = [rows[i]["kept"] for i in range(len(rows))]
+    assert all(kept[:162]) and not any(kept[162:]) and all(rows[i]["votes"].count("0") == 1 for i in range(150, 162))
 
 
 def test_forward_is_the_sum_over_paths():
