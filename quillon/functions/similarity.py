@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,11 +40,8 @@ def frequency_jaccard(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def ngrams(s: ColumnLike, n: int) -> Column:
-    """Every n-gram of a string in order; none for shorter strings. Characters are split once and put together side by side, so time is linear in the length."""
-    count = F.length(col(s)) - n + 1
-    shifted = [F.slice(F.split(col(s), ""), F.lit(k + 1), F.greatest(count, F.lit(0))) for k in range(n)]
-    every = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), shifted)
-    return F.when(count > 0, every).otherwise(F.array().cast("array<string>"))
+    """Every n-gram of a string in order; none for null and shorter strings. One scan: each match is a character that n - 1 others follow, so time is linear in the length."""
+    return F.coalesce(F.regexp_extract_all(col(s), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), F.array().cast("array<string>"))
 
 
 def letter_pairs(s: ColumnLike, n: int = 2) -> Column:

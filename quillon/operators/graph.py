@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read back, so lineage ends; checkpoint() where no folder is named."""
-    where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if where:
-        path = f"{where.rstrip('/')}/quillon/step-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. Where none is named, a local session takes a temporary one; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share and read back, so lineage ends."""
+    path = f"{shared_folder(df.sparkSession)}/quillon/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:

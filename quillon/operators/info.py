@@ -104,11 +104,11 @@ def joint_probability(df: DataFrame, x: str, y: str, symmetric: bool = False) ->
 
 
 def relative_entropy(p: DataFrame, q: DataFrame, key: str = "item", by: Sequence[str] = (), base: float = 2.0) -> DataFrame:
-    """KLD over the union of keys, where terms with either side 0 count 0, as the reference defines it; tiny negatives become 0.
+    """KLD over the union of keys, where terms with either side 0 count 0, as the reference defines it; tiny negatives become 0. A group of either side has a row.
 
     A clearly negative result (possible since terms drop out) comes with negative = true instead of an exception.
     """
-    both = p.select(*by, key, F.col("p").alias("_p")).join(q.select(*by, key, F.col("p").alias("_q")), [*by, key], "inner")
+    both = p.select(*by, key, F.col("p").alias("_p")).join(q.select(*by, key, F.col("p").alias("_q")), [*by, key], "full_outer")
     term = F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_p") * _log(F.col("_p") / F.col("_q"), base)).otherwise(0.0)
     value = F.coalesce(F.sum(term), F.lit(0.0))
     return both.groupBy(*by).agg(clamp(value).alias("kld"), (value <= -TINY).alias("negative"))

@@ -32,23 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # How both engines turn prose into RNA-like letters.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGUACGUACGUACGUACGUACGUAC"
-RNA_SQL = f"regexp_replace(translate(lower(substr(text, 1, 120)), '{LETTERS}', '{BASES}'), '[^ACGU]', '', 'g')"
-ALIGNED_SQL = f"regexp_replace(translate(lower(substr(text, 1, 60)), '{LETTERS}', '{BASES}'), '[^ACGU]', '.', 'g')"
+RNA_SQL = f"regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[^ACGU]', '', 'g')"
+ALIGNED_SQL = f"regexp_replace(translate(lower({{}}), '{LETTERS}', '{BASES}'), '[^ACGU]', '.', 'g')"
 
 
 def rna(text: str = "text") -> Column:
-    """The first 120 characters only, as RNA_SQL has them."""
-    return whole_rna(F.substring(text, 1, 120))
-
-
-def whole_rna(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGU]", "")
 
 
-def aligned(text: str = "text") -> Column:
-    return F.regexp_replace(F.translate(F.lower(F.substring(text, 1, 60)), LETTERS, BASES), "[^ACGU]", ".")
+def aligned(text: str) -> Column:
+    """A text as a row of an alignment: RNA-like letters, gaps for all else."""
+    return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGU]", ".")
 
 
 def r6(c: Column, name: str) -> Column:
     """A double rounded so that both engines' summation orders agree; -0.0 becomes 0.0."""
     return (F.round(c, 6) + 0.0).alias(name)
+
+
+#: Added before rounding where values are ratios of small counts, so that a value halfway between two steps goes up in both engines.
+HALFWAY = "1e-9"

@@ -40,16 +40,18 @@ def gram_alphabet(spark, sf):
     return counting.alphabet(table(spark, sf, "part"), "p_type", 3)
 
 
-_POSITIONS = f"""with s as (select doc_id, lang, {RNA_SQL} as q from documents), c as (select doc_id, lang, unnest(range(1, length(q) + 1)) as i, q from s), x as (select doc_id, lang, i, substring(q, i, 1) as ch from c)"""
+_BEFORE = ", ".join(f"count(*) filter (ch = '{b}') over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as {b}" for b in "ACGU")
+_ORDERED = f"""with s as (select doc_id, lang, string_split({RNA_SQL}, '') as q from documents), x as (select doc_id, lang, unnest(q) as ch, unnest(range(len(q))) as i from s), w as (select lang, ch, {_BEFORE} from x where ch <> ''),
+k as ({' union all '.join(f"select lang, '{b}' as a, ch as b, sum({b})::bigint as n from w group by 1, 2, 3" for b in "ACGU")}) """
 
 
-@query(f"{_POSITIONS} select a.lang, least(a.ch, b.ch) || greatest(a.ch, b.ch) as item, count(*) as n from x a join x b on a.doc_id = b.doc_id and a.i < b.i group by 1, 2")
+@query(f"{_ORDERED} select lang, least(a, b) || greatest(a, b) as item, sum(n)::bigint as n from k group by 1, 2 having sum(n) > 0")
 def combins_freq_sym(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", rna().alias("q"))
     return counting.combination_frequencies(docs, "q", "doc_id", ["lang"])
 
 
-@query(f"{_POSITIONS} select a.lang, a.ch || b.ch as item, count(*) as n from x a join x b on a.doc_id = b.doc_id and a.i < b.i group by 1, 2")
+@query(f"{_ORDERED} select lang, a || b as item, n from k where n > 0")
 def combins_freq_nonsym(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", rna().alias("q"))
     return counting.combination_frequencies(docs, "q", "doc_id", ["lang"], symmetric=False)
@@ -88,10 +90,10 @@ def covariance_correlation(spark, sf):
     return s.select("l_returnflag", F.round("covariance", 2).alias("covariance"), r6(F.col("correlation"), "correlation"))
 
 
-@query("select round(ln(product(1 + s_nationkey)), 6) as log_product, round(sum(ln(1 + s_nationkey)), 6) as log_sum from supplier where s_suppkey <= 50")
+@query("select l_orderkey, round(ln(product(1 + l_quantity)), 6) as log_product, round(sum(ln(1 + l_quantity)), 6) as log_sum from lineitem group by 1")
 def products(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 50")
-    return s.agg(r6(F.ln(F.product(1 + F.col("s_nationkey"))), "log_product"), r6(F.sum(F.ln(1 + F.col("s_nationkey"))), "log_sum"))
+    s = table(spark, sf, "lineitem").groupBy("l_orderkey")
+    return s.agg(r6(F.ln(F.product(1 + F.col("l_quantity"))), "log_product"), r6(F.sum(F.ln(1 + F.col("l_quantity"))), "log_sum"))
 
 
 @query("select ((select sum(s_nationkey)::bigint from supplier) * (select sum(p_size)::bigint from part))::bigint as cross_sum")
@@ -203,12 +205,15 @@ def lod_scores(spark, sf):
     return info.lod_scores(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority").select("o_orderstatus", "o_orderpriority", r6(F.col("lod"), "lod"))
 
 
-_ALN = f"with a as (select doc_id as name, {ALIGNED_SQL} as seq from documents where length({ALIGNED_SQL}) = 60), x as (select name, unnest(range(60)) as col, seq from a), c as (select name, col, substring(seq, col + 1, 1) as ch from x) "
+# The alignment: every part's whole name and type, with gaps up to the longest.
+_PART = "p_name || '-' || p_type"
+_ALN = f"with t as (select p_partkey as name, {ALIGNED_SQL.format(_PART)} as seq from part), m as (select max(length(seq)) as m from t), x as (select name, unnest(range(m)) as col, rpad(seq, m::int, '.') as seq from t, m), c as (select name, col, substring(seq, col + 1, 1) as ch from x) "
 
 
 def _aln(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), aligned().alias("seq"))
-    return docs.filter(F.length("seq") == 60)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), aligned(F.concat("p_name", F.lit("-"), "p_type")).alias("seq"))
+    width = rows.agg(F.max(F.length("seq")).alias("m"))
+    return rows.join(F.broadcast(width)).select("name", F.expr("rpad(seq, m, '.')").alias("seq"))  # one row
 
 
 @query(_ALN + f"select col::int as col, round({_h('n')}, 6) as entropy, sum(n)::bigint as n from (select col, ch, count(*)::double as n from c where ch <> '.' group by 1, 2) group by 1")
@@ -233,9 +238,9 @@ def bp_stats(spark, sf):
     return counting.base_pair_stats(pairs, ["i"]).select("i", "au", "ua", "gc", "cg", r6(F.col("paired"), "paired"))
 
 
-@query(f"with g as ({_grams(f'(select {ALIGNED_SQL} as q from documents)', 'q', 2)}), c as (select item, count(*) as n from g where item not like '%.%' group by 1) select item, n, round(n / sum(n) over (), 6) as p from c")
+@query(f"with g as ({_grams(f"(select {ALIGNED_SQL.format('text')} as q from documents)", 'q', 2)}), c as (select item, count(*) as n from g where item not like '%.%' group by 1) select item, n, round(n / sum(n) over (), 6) as p from c")
 def background_dist(spark, sf):
-    docs = table(spark, sf, "documents").select(aligned().alias("q"))
+    docs = table(spark, sf, "documents").select(aligned("text").alias("q"))
     return counting.background(docs, "q", 2).select("item", "n", r6(F.col("p"), "p"))
 
 

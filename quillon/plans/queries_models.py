@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, context, phylo, scoring, windows
-from .base import RNA_SQL, r6, registry, rna, table, whole_rna
+from .base import HALFWAY, RNA_SQL, r6, registry, rna, table
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -142,9 +142,9 @@ def hybrid_profile(spark, sf):
 _Q3 = f"with {_G} {_dict(1)}, {_dict(2)}, {_dict(3)}, w as (select l.doc_id, l.item || substring(r.item, 2, 1) as item, l.p * r.p / m.p as w from d2 l join d2 r on l.doc_id = r.doc_id and substring(l.item, 2, 1) = substring(r.item, 1, 1) join d1 m on m.doc_id = l.doc_id and m.item = substring(l.item, 2, 1)), q3 as (select doc_id, item, w / sum(w) over (partition by doc_id) as p from w) "
 
 
-@query(_Q3 + "select doc_id, item, round(p, 6) as p from q3")
+@query(_Q3 + f"select doc_id, item, round(p + {HALFWAY}, 6) as p from q3")
 def expected_qdict(spark, sf):
-    return context.reconstruct(_seqs(spark, sf), "q", 3, ["doc_id"]).select("doc_id", "item", r6(F.col("p"), "p"))
+    return context.reconstruct(_seqs(spark, sf), "q", 3, ["doc_id"]).select("doc_id", "item", r6(F.col("p") + float(HALFWAY), "p"))
 
 
 @query(_Q3 + "select d3.doc_id, round(case when sum(d3.p * log2(d3.p / q3.p)) between -1e-10 and 0 then 0 else sum(d3.p * log2(d3.p / q3.p)) end, 6) as kld from d3 join q3 using (doc_id, item) group by 1")
@@ -168,7 +168,7 @@ def profile_distances(spark, sf):
 
 @query()
 def candidate_filter(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", whole_rna(F.col("text")).alias("q"))
+    s = table(spark, sf, "documents").select("doc_id", rna().alias("q"))
     return context.candidate_filter(s.filter("doc_id % 2 = 0"), s.filter("doc_id % 2 = 1"), "q", 3, "doc_id", 1, 100).select("doc_id", r6(F.col("re"), "re"), "good")
 
 
@@ -180,7 +180,7 @@ def greedy_nonredundant(spark, sf):
 
 @query()
 def dinuc_shuffle(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", whole_rna(F.col("text")).alias("q"))
+    rows = table(spark, sf, "documents").select("doc_id", rna().alias("q"))
     return phylo.shuffles(rows, "q", 2, 3)
 
 

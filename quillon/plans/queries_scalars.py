@@ -35,10 +35,10 @@ def primes(spark, sf):
     return table(spark, sf, "part").select(F.col("p_size").cast("long").alias("n")).distinct().select("n", mathfn.is_prime("n").alias("prime"))
 
 
-@query("""with n as (select distinct p_partkey::bigint as n from part where p_partkey between 2 and 500), p as (select unnest(range(2, 501)) as p), q as (select p from p a where not exists (select 1 from p b where b.p < a.p and a.p % b.p = 0)),
-e as (select unnest(range(1, 10)) as e), f as (select n, p, count(*) as m from n, q, e where n % try_cast(pow(p, e) as bigint) = 0 and pow(p, e) <= n group by 1, 2) select n, string_agg(p::varchar || '^' || m::varchar, ' ' order by p) as factors from f group by 1""")
+@query("""with n as (select distinct p_partkey::bigint as n from part where p_partkey > 1), p as (select unnest(range(2, (select max(n) + 1 from n))) as p), q as (select p from p a where not exists (select 1 from p b where b.p * b.p <= a.p and a.p % b.p = 0)),
+e as (select unnest(range(1, 40)) as e), f as (select n, p, count(*) as m from n, q, e where n % try_cast(pow(p, e) as bigint) = 0 and pow(p, e) <= n group by 1, 2) select n, string_agg(p::varchar || '^' || m::varchar, ' ' order by p) as factors from f group by 1""")
 def prime_factors(spark, sf):
-    rows = table(spark, sf, "part").filter("p_partkey between 2 and 500").select(F.col("p_partkey").cast("long").alias("n")).distinct()
+    rows = table(spark, sf, "part").filter("p_partkey > 1").select(F.col("p_partkey").cast("long").alias("n")).distinct()
     text = F.array_join(F.transform(mathfn.prime_factors("n"), lambda x: F.concat(x["p"].cast("string"), F.lit("^"), x["n"].cast("string"))), " ")
     return rows.select("n", text.alias("factors"))
 
@@ -81,9 +81,9 @@ def reverse_complement(spark, sf):
     return rows.select("doc_id", sequences.reverse_complement("q").alias("rc"))
 
 
-@query("select doc_id, round((length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double, 6) as gaps, replace(replace(s, '.', ''), '-', '') as degapped from (select doc_id, substr(text, 1, 200) as s from documents) where length(s) > 0 and (length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double < 0.02")
+@query("select doc_id, round((length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double, 6) as gaps, replace(replace(s, '.', ''), '-', '') as degapped from (select doc_id, text as s from documents) where length(s) > 0 and (length(s) - length(replace(replace(s, '.', ''), '-', ''))) / length(s)::double < 0.02")
 def filter_pgap(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("s"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("s"))
     return rows.filter(sequences.gap_fraction("s") < 0.02).select("doc_id", r6(sequences.gap_fraction("s"), "gaps"), sequences.degap("s").alias("degapped"))
 
 
@@ -211,10 +211,10 @@ def pos_neg_sets(spark, sf):
     return windows.split_ranked(table(spark, sf, "supplier"), ["s_acctbal", "s_suppkey"], 10, "both").select("s_suppkey", "rank", "positive")
 
 
-@query("select p_type, p_partkey, round(pow(p_size / 51.0, ln(1 + p_partkey)), 12) as value from part where p_partkey <= 100 order by value, p_partkey limit 10")
+@query("select p_type, p_partkey, round(ln(1 + p_partkey) * ln(p_size / 51.0), 6) as log_value from part order by pow(p_size / 51.0, ln(1 + p_partkey)), p_partkey limit 10")
 def score_context(spark, sf):
-    rows = table(spark, sf, "part").filter("p_partkey <= 100").select("p_type", "p_partkey", (F.col("p_size") / 51.0).alias("s"), (1 + F.col("p_partkey")).alias("len"))
-    return windows.ranked_power(rows, "s", "len").select("p_type", "p_partkey", F.round("value", 12).alias("value"))
+    rows = table(spark, sf, "part").select("p_type", "p_partkey", (F.col("p_size") / 51.0).alias("s"), (1 + F.col("p_partkey")).alias("len"))
+    return windows.ranked_power(rows, "s", "len").select("p_type", "p_partkey", r6(F.ln("value"), "log_value"))
 
 
 _SETS = "with a as (select distinct o_custkey from orders where o_orderpriority = '1-URGENT'), b as (select distinct o_custkey from orders where o_orderdate >= timestamp '2000-06-01'), c as (select distinct o_custkey from orders where o_totalprice > 450000) "
