@@ -74,9 +74,10 @@ def translated(s: ColumnLike, mapping: tuple[str, str] = RY) -> Column:
 def amino_acids(s: ColumnLike, stop: bool = True, rna: bool = True) -> Column:
     """Codon translation; null where the length is no multiple of 3. With stop, the last codon is dropped."""
     table = F.create_map(*[F.lit(x) for pair in codon_map(rna).items() for x in pair])
-    length = F.length(col(s)) - (3 if stop else 0)
-    codons = F.transform(F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1)), F.lit(3)), lambda i: F.coalesce(table[F.substring(col(s), i, F.lit(3))], F.lit("")))
-    return F.when(F.length(col(s)) % 3 != 0, None).when(length < 3, "").otherwise(F.array_join(codons, ""))
+    codons = F.regexp_extract_all(col(s), F.lit("(?s)..."), F.lit(0))
+    if stop:
+        codons = F.slice(codons, F.lit(1), F.greatest(F.size(codons) - 1, F.lit(0)))
+    return F.when(F.length(col(s)) % 3 == 0, F.array_join(F.transform(codons, lambda c: table[c]), ""))
 
 
 def chunks(s: ColumnLike, n: int, step: int | None = None, pad: str | None = None) -> Column:

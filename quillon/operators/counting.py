@@ -6,10 +6,13 @@ the already counted rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.arrays import reversible
@@ -58,20 +61,37 @@ def grouped_with_totals(df: DataFrame, items: Column, group: str) -> DataFrame:
 def combination_frequencies(df: DataFrame, text: str, key: str, by: Sequence[str], symmetric: bool = True) -> DataFrame:
     """Counts of all pairs of positions i < j of each text, by their characters; with `symmetric`, xy and yx are one item. key names the rows.
 
-    Closed forms instead of pairs: for symmetric items c(x) c(y), or C(c(x), 2); in order, each position's earlier counts of every symbol. A
-    text of length L so costs L or L * alphabet rows, not L^2.
+    Closed forms over a text's symbols instead of pairs, c(x) c(y) or C(c(x), 2), or in order the sum over the places of y of how many x
+    came before: time L * alphabet and no row for each character. Each batch sends one row for each group and item.
     """
-    chars = df.select(*by, key, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("pos", "ch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+            found: dict[tuple, int] = {}
+            for group, s in zip(groups, batch.column(len(by)).to_pylist(), strict=True):
+                for item, n in _pairs_of(s or "", symmetric):
+                    found[*group, item] = found.get((*group, item), 0) + n
+            rows = list(zip(*found, strict=True)) or [[]] * (len(by) + 1)
+            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(rows, [*(batch.schema.field(c).type for c in by), pa.string()], strict=True)), pa.array(list(found.values()), pa.int64())], [*by, "item", "n"])
+
+    schema = StructType([*(df.schema[c] for c in by), StructField("item", StringType()), StructField("n", LongType())])
+    return df.select(*by, text).mapInArrow(run, schema).groupBy(*by, "item").agg(F.sum("n").alias("n"))
+
+
+def _pairs_of(s: str, symmetric: bool) -> Iterator[tuple[str, int]]:
+    symbols, codes = np.unique(np.frombuffer(s.encode("utf-32-le"), np.uint32), return_inverse=True)
+    names, counts = [chr(c) for c in symbols], np.bincount(codes, minlength=len(symbols))
     if symmetric:
-        own = chars.groupBy(*by, key, "ch").agg(F.count("*").alias("c"))
-        listed = own.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct("ch", "c"))).alias("all"))  # one entry for each symbol of the text
-        pairs = listed.select(*by, F.explode("all").alias("x"), "all").select(*by, "x", F.explode("all").alias("y")).filter("x.ch <= y.ch")
-        n = F.when(F.col("x.ch") == F.col("y.ch"), F.expr("x.c * (x.c - 1) div 2")).otherwise(F.col("x.c") * F.col("y.c"))
-        return pairs.select(*by, F.concat("x.ch", "y.ch").alias("item"), n.alias("n")).groupBy(*by, "item").agg(F.sum("n").alias("n")).filter("n > 0")
-    symbols = chars.select(key, F.col("ch").alias("first")).distinct()
-    w = Window.partitionBy(key, "first").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = chars.join(symbols, key).withColumn("before", F.coalesce(F.sum((F.col("ch") == F.col("first")).cast("long")).over(w), F.lit(0)))
-    return rows.groupBy(*by, F.concat("first", "ch").alias("item")).agg(F.sum("before").alias("n")).filter("n > 0")
+        each = ((x, y, int(counts[x]) * int(counts[y]) if x < y else int(counts[x]) * (int(counts[x]) - 1) // 2) for x in range(len(names)) for y in range(x, len(names)))
+        yield from ((names[x] + names[y], n) for x, y, n in each if n)
+        return
+    for x in range(len(names)):
+        at = codes == x
+        before = np.cumsum(at) - at
+        sums = np.zeros(len(names), np.int64)
+        np.add.at(sums, codes, before)
+        yield from ((names[x] + names[y], int(n)) for y, n in enumerate(sums) if n)
 
 
 def merge_reversible(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

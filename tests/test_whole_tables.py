@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+from quillon.plans import queries_counting as counting
 from quillon.plans import queries_joins as joins
 from quillon.plans import queries_models as models
 from quillon.plans.base import BASES, LETTERS
@@ -53,3 +54,34 @@ def test_setops_with_seqs_takes_every_order(spark, tmp_path):
     day = lambda k: 9 + k % 9
     assert {(r["start"], r["end"]) for r in rows} == {(day(k), day(k) + k % 50) for k, _, _ in orders}
     assert all(r["seq"] == text[r["start"] - 1 : r["end"]] for r in rows if r["strand"] == "1")
+
+
+def test_scc_takes_every_line(spark, tmp_path):
+    draw = random.Random(8)
+    lines = [(draw.randrange(30), draw.randrange(12), draw.choice("RAN")) for _ in range(60)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    reach = {}
+    for p, s, flag in lines:
+        a, b = (p, -1 - s) if flag == "R" else (-1 - s, p)
+        reach.setdefault(a, {a}).add(b)
+        reach.setdefault(b, {b})
+    for _ in reach:
+        for a in reach:
+            reach[a] = set().union(*(reach[b] for b in reach[a]))
+    expected = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+    got = {r["id"]: r["component"] for r in joins.scc(spark, str(tmp_path)).collect()}
+    assert got == expected and len(set(expected.values())) < len(expected)
+
+
+def test_ordered_pairs_over_whole_texts(spark, tmp_path):
+    texts = [prose(i, 300) for i in range(4)] + ["", None]
+    spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected, ordered = Counter(), Counter()
+    for i, t in enumerate(texts):
+        q, lang = rna(t or ""), "en" if i % 2 else None
+        for j, y in enumerate(q):
+            for x in q[:j]:
+                ordered[lang, x + y] += 1
+                expected[lang, min(x, y) + max(x, y)] += 1
+    rows = lambda df: {(r["lang"], r["item"]): r["n"] for r in df.collect()}
+    assert rows(counting.combins_freq_sym(spark, str(tmp_path))) == expected and rows(counting.combins_freq_nonsym(spark, str(tmp_path))) == ordered
