@@ -1,7 +1,7 @@
 """Language identification with a string kernel (operator 6).
 
-The kernel of two texts is the share of character n-grams (1 to 3, in bytes) present in both, normalised by their sizes. Nystroem
-landmarks give each text finite features, and kernel ridge regression, one language against the rest, is solved on a bounded
+The kernel of two texts is the share of character n-grams (1 to 3) present in both, normalised by their sizes. Nystroem
+landmarks, drawn from each language, give each text finite features, and kernel ridge regression, one language against the rest, is solved on a bounded
 sample of labelled rows. As the kernel is an inner product of presence vectors, the fitted weights fold into one matrix and whole
 batches of texts are scored by a matrix product.
 """
@@ -18,7 +18,8 @@ from .common import over_arrow, raw
 
 GRAMS = (1, 2, 3)
 DIMENSIONS = 1 << 13
-LANDMARKS = 160
+#: Landmarks in all, and of each language at least.
+LANDMARKS, EACH = 160, 8
 #: Labelled rows of a language that fitting takes at most; what the driver holds grows with the number of languages only.
 PER_LANGUAGE = 300
 BROADCAST_LANGUAGES = 10_000
@@ -29,8 +30,8 @@ _BLOCK = 256
 
 
 def grams(text: bytes) -> np.ndarray:
-    """The hashed n-grams of a lower-cased text, with repeats."""
-    buffer = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.uint32)
+    """The hashed character n-grams of a lower-cased text, with repeats."""
+    buffer = np.frombuffer(f" {' '.join(text.decode('utf-8', 'replace').lower().split())} ".encode("utf-32-le", "replace"), np.uint32)
     found = []
     for n in GRAMS:
         count = len(buffer) - n + 1
@@ -57,7 +58,10 @@ def fit(texts: list[bytes], languages: list[str], seed: int = 11) -> tuple[list[
         return [], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32)
     x = presence(texts)
     y = np.where(np.array(languages)[:, None] == np.array(known)[None, :], 1.0, -1.0)
-    landmarks = x[np.random.default_rng(seed).permutation(len(x))[:LANDMARKS]]
+    order = np.random.default_rng(seed).permutation(len(x))
+    share = max(EACH, LANDMARKS // len(known))
+    own = [order[np.array(languages)[order] == name][:share] for name in known]
+    landmarks = x[np.concatenate(own)]
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -98,7 +102,7 @@ def identify(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGU
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = raw(batch.column(1))
         best, score = np.full(len(texts), len(known)), np.zeros(len(texts))
-        rows = [i for i, t in enumerate(texts) if t and known and _LETTER.search(t.decode())]
+        rows = [i for i, t in enumerate(texts) if t and known and _LETTER.search(t.decode("utf-8", "replace"))]
         for at in range(0, len(rows), _BLOCK):
             part = rows[at : at + _BLOCK]
             values = (presence([texts[i] for i in part]) @ weights + centre).astype(np.float64) * SHARPNESS
