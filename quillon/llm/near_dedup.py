@@ -336,25 +336,32 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, grams): the packed full sets of the documents with these ids."""
+    """(id, sig, grams): the packed full sets of the documents with these ids, and their digests."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = _words()
-        return pa.record_batch([batch.column(0), pa.array([shingles(t, hashes).tobytes() for t in raw(batch.column(1))], pa.binary())], ["id", "grams"])
+        sets = [shingles(t, hashes).tobytes() for t in raw(batch.column(1))]
+        return pa.record_batch([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "sig", "grams"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
-    return over_arrow(rows, ["id", "text"], "id long, grams binary", run)
+    return over_arrow(rows, ["id", "text"], "id long, sig binary, grams binary", run)
+
+
+def least_sets(sets: DataFrame) -> DataFrame:
+    """(id, sig, grams) to one set (id, grams) of each id, the one of least digest."""
+    return sets.groupBy("id").agg(F.min_by("grams", "sig").alias("grams"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, small: int = SMALL, large: int = LARGE) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (least doc_id reachable over links), kept.
 
     Null or wordless texts have an empty set, link with nothing and stay. A null doc_id has a null component and is kept.
-    Rows with one doc_id count as one document: they share a component. Other columns of docs are ignored.
+    Rows with one doc_id count as one document: they share a component, and of their different sets the one of least digest is compared. Other
+    columns of docs are ignored.
     """
     sigs = written(signatures(docs), "dedup-signatures")
     classes = written(sigs.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["sig", "doc_id"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("sig", "sketch")).alias("least")).select("id", "least.sketch")
     first = first_level(reps)
     shared = first.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     level = written(first.join(shared, "node").join(reps, "id").select("node", "id", "sketch", "n"), "dedup-nodes")
@@ -380,7 +387,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, small: int = SMALL, la
     pairs = written((pairs.union(star) if star is not None else pairs).distinct(), "dedup-pairs")
     dense = found.filter("dense = 1").select(F.col("a").alias("node"), F.col("b").alias("id"), "sketch")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("id")).distinct()
-    sets = written(full_sets(docs, ids).dropDuplicates(["id"]), "dedup-sets")
+    sets = written(least_sets(full_sets(docs, ids)), "dedup-sets")
     for table in tables:
         forget(table)
     links = written(confirm(pairs, sets), "dedup-links")
@@ -399,8 +406,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, small: int = SMALL, la
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one of each group of linked documents, one row of each doc_id, and every row without a doc_id."""
-    kept = near_duplicates(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == F.col("_kept"), "left_semi")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    """The rows of docs, with all their columns, that stay: one of each group of linked documents, one row of each doc_id (that of least text), and every row without a doc_id."""
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that docs hasn't
+    ids = near_duplicates(spark, docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.join(ids, docs["doc_id"].cast("long") == F.col(own), "left_semi")
+    rows = rows.withColumn(own, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(own) == 1).drop(own)
     return rows.unionByName(docs.filter("doc_id is null"))

@@ -80,3 +80,14 @@ def test_unlucky_pairs_at_the_threshold_are_candidates(spark):
     b = np.where(np.arange(near_dedup.SKETCH) < 28, a, a + np.uint32(1))  # 28 of 64 agree
     members = spark.createDataFrame([(5, 1, a.tobytes()), (5, 2, b.tobytes())], "node long, id long, sketch binary")
     assert [(r["a"], r["b"]) for r in near_dedup.compare_nodes(members).collect()] == [(1, 2)]
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a", 7), (2, words + " more", "b", 8), (2, "another text of one repeated id here", "c", 9), (2, "another text of one repeated id here", "c", 9), (None, words, "d", 1), (None, None, "e", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth string, _kept long")
+    kept = near_dedup.without_near_duplicates(spark, docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["_nth"], r["_kept"]) for r in kept.collect()} in ({(1, "a", 7), (None, "d", 1), (None, "e", 2)}, {(1, "a", 7), (2, "c", 9), (None, "d", 1), (None, "e", 2)})
+    first = sorted(map(str, kept.collect()))
+    assert all(sorted(map(str, near_dedup.without_near_duplicates(spark, docs.repartition(k)).collect())) == first for k in (1, 3))
