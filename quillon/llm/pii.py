@@ -2,8 +2,9 @@
 
 Patterns find protected entities. Words of a document with an entity are candidates for disclosing it: over the corpus, a term t
 reveals an entity e when their pointwise mutual information is close to the information of the entity itself,
-log2 P(e | t) / P(e) >= share * -log2 P(e). Such terms are removed from every document with the entity. Copies of one context
-count once as evidence, and a term needs several different contexts.
+log2 P(e | t) / P(e) >= share * -log2 P(e). An entity is a value or the group it belongs to: an address's host, a network, a card's issuer,
+a number's area. A term that reveals a value is removed from every document with it; one that reveals a group only is generalised to what sort
+of word it is. Copies of one context count once as evidence, and a term needs several different contexts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _BLANK = "\uffff"
 NEAR, READ = 4, 96
 #: Share of an entity's information that a term must reveal, and the different contexts that must show it.
 DISCLOSURE, CONTEXTS = 0.9, 3
+#: Share of documents up to which a group of values counts as an entity; what more documents show is nobody's secret (6.6 bits at most).
+COMMON = 0.01
 #: Disclosing terms that may be broadcast; beyond, document frequencies come by a shuffled join.
 BROADCAST_TERMS = 500_000
 
@@ -92,8 +95,15 @@ def free_words(text: Column, base: Column) -> Column:
     return F.array_distinct(_words(F.when(F.size(base) > 0, blanked).otherwise(text)))
 
 
+def _group(kind: Column, value: Column) -> Column:
+    """The group of values that one belongs to: host, network of three numbers, six digits of a card, four of a phone."""
+    digits = _digits(value)
+    part = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 3))
+    return F.concat(kind, F.lit(":"), part.when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4)))
+
+
 def disclosing_terms(rows: DataFrame) -> DataFrame | None:
-    """(doc_id, terms): the terms to remove from each document, None if the corpus has none.
+    """(doc_id, terms, hints): the terms to remove from each document and those to generalise, None if the corpus has neither.
 
     rows: doc_id, text, base. Each word of a document with an entity is a candidate, wherever it stands outside the base spans. Evidence are
     different texts (by the least hash of their 5-word runs, so near copies mostly count once) or different surroundings of the entity
@@ -107,20 +117,22 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     run = _words(F.col("text"))
     about = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_run") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("_run", i, 5))))
     seen = some.withColumn("_run", run).select("doc_id", "text", about.alias("about"), F.explode("base").alias("s"))
-    seen = written(seen.select("doc_id", "about", F.lower("s.value").alias("entity"), near.alias("near"), F.xxhash64(left, right).alias("context")), "pii-entities")
+    value = F.lower("s.value")
+    named = F.explode(F.array(F.struct(value.alias("entity"), F.lit(False).alias("grouped")), F.struct(_group(F.col("s.kind"), value).alias("entity"), F.lit(True).alias("grouped")))).alias("e")
+    seen = written(seen.select("doc_id", "about", named, near.alias("near"), F.xxhash64(left, right).alias("context")).select("doc_id", "about", "e.*", "near", "context"), "pii-entities")
     total = rows.count()
     p_e = F.col("df_e") / F.lit(float(total))
     reveals = lambda p_e_t: F.log2(p_e_t / p_e) >= DISCLOSURE * -F.log2(p_e)
-    entities = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("df_e"), F.countDistinct("about").alias("texts"), F.countDistinct("context").alias("contexts"))
-    entities = written(entities.filter((F.greatest("texts", "contexts") >= CONTEXTS) & (p_e < 1)).select("entity", "df_e"), "pii-counts")
-    mentions = seen.select("doc_id", "about", "entity").distinct().join(entities, "entity")
+    entities = seen.groupBy("entity", "grouped").agg(F.countDistinct("doc_id").alias("df_e"), F.countDistinct("about").alias("texts"), F.countDistinct("context").alias("contexts"))
+    entities = written(entities.filter((F.greatest("texts", "contexts") >= CONTEXTS) & (p_e < 1) & (~F.col("grouped") | (p_e <= COMMON))).select("entity", "df_e", "grouped"), "pii-counts")
+    mentions = seen.select("doc_id", "about", "entity", "grouped").distinct().join(entities, ["entity", "grouped"])
     words = some.select("doc_id", F.explode(free_words(F.col("text"), F.col("base"))).alias("term")).filter(F.length("term") > 1).distinct()
     words = written(words, "pii-words")
     around = words.groupBy("term").agg(F.count("*").alias("df_around"))
     words = words.join(around, "term").join(mentions.select("doc_id").distinct(), "doc_id", "left_semi")
     # documents with the term and some entity are among those with the term, so what fails here fails on the whole corpus
     together = mentions.join(words, "doc_id").filter(reveals(F.least(F.col("df_e") / F.col("df_around"), F.lit(1.0))))
-    together = written(together.select("doc_id", "about", "entity", "term", "df_e", "df_around"), "pii-together")
+    together = written(together.select("doc_id", "about", "entity", "grouped", "term", "df_e", "df_around"), "pii-together")
     close = seen.select("entity", F.explode("near").alias("term"), "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
     pairs = together.groupBy("entity", "term").agg(F.max("df_e").alias("df_e"), F.max("df_around").alias("df_around"), F.countDistinct("doc_id").alias("df_te"), F.countDistinct("about").alias("texts"))
     pairs = pairs.filter(reveals(F.col("df_te") / F.col("df_around"))).join(close, ["entity", "term"], "left")
@@ -142,15 +154,22 @@ def disclosing_terms(rows: DataFrame) -> DataFrame | None:
     if not n_revealing:
         return None
     by_pair = F.broadcast(revealing) if n_revealing <= BROADCAST_TERMS else revealing
-    return written(together.join(by_pair, ["entity", "term"], "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms")), "pii-doc-terms")
+    own = together.join(by_pair, ["entity", "term"], "left_semi").groupBy("doc_id")
+    own = own.agg(F.collect_set(F.when(~F.col("grouped"), F.col("term"))).alias("terms"), F.collect_set("term").alias("hints"))
+    return written(own.select("doc_id", "terms", F.array_except("hints", "terms").alias("hints")), "pii-doc-terms")
 
 
 def term_spans(rows: DataFrame) -> DataFrame:
-    """rows with `extra`: spans of the words in `terms` that no base span touches."""
+    """rows with `extra`: spans of the words in `terms` (kind term) and `hints` (kind number or word) that no base span touches."""
     pattern = r"[\p{L}\p{M}\p{N}]+"
-    rows = spans_of(rows, "text", "term", pattern, F.size(F.coalesce("terms", F.array().cast("array<string>"))) > 0)
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("terms", F.coalesce("terms", none)).withColumn("hints", F.coalesce("hints", none))
+    rows = spans_of(rows, "text", "term", pattern, F.size("terms") + F.size("hints") > 0)
     free = lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    return rows.withColumn("extra", F.filter("term", lambda s: F.array_contains("terms", F.lower(s["value"])) & free(s))).drop("term")
+    sort = lambda s: F.when(F.array_contains("terms", F.lower(s["value"])), "term").when(s["value"].rlike(r"^\p{N}+$"), "number").otherwise("word")
+    named = lambda s: F.struct(sort(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+    mine = F.filter("term", lambda s: (F.array_contains("terms", F.lower(s["value"])) | F.array_contains("hints", F.lower(s["value"]))) & free(s))
+    return rows.withColumn("extra", F.sort_array(F.transform(mine, named))).drop("term")
 
 
 def _report(spans: Column) -> Column:
@@ -172,7 +191,7 @@ def _cleaned(text: Column, spans: Column, mark: Column | None = None) -> Column:
 def sanitise(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_report, spans, clean_text.
 
-    clean_text has each span replaced by its kind in brackets; overlapping spans become one. Null texts count as empty. Rows with a null
+    clean_text has each span replaced by its kind in brackets, after the base kinds `term`, `number` and `word` by kind, then start; overlapping spans become one. Null texts count as empty. Rows with a null
     doc_id get the pattern spans only; rows of one doc_id share their terms. An empty table gives no rows. Other columns are ignored.
     """
     rows = _spanned(docs)

@@ -106,3 +106,23 @@ def test_parts_of_the_entity_are_terms(spark, table):
     rows = {r["doc_id"]: r for r in pii.sanitise(spark, table(texts)).collect()}
     assert all("Alice" not in rows[i]["clean_text"] and "[EMAIL]" in rows[i]["clean_text"] for i in range(6))
     assert all("term:" not in rows[i]["spans"] for i in range(6, 136))
+
+
+def test_terms_that_reveal_a_group_are_generalised(spark, table):
+    draw = random.Random(9)
+    filler = lambda n: " ".join(f"w{draw.randrange(400)}" for _ in range(n))
+    texts = [f"{filler(20)} Quuxcorp 4711 offers {filler(5)} p{i}@quux.example {filler(10)}" for i in range(6)]  # each address once, one host
+    texts += [f"{filler(20)} offers {filler(5)} p{i}@host{i}.example {filler(10)}" for i in range(40)] + [filler(30) for _ in range(700)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark, table(texts)).collect()}
+    for i in range(6):
+        assert "[WORD] [NUMBER] offers" in rows[i]["clean_text"] and "term:" not in rows[i]["spans"]
+        kinds = [x.split(":")[0] for x in rows[i]["spans"].split(",")]
+        assert kinds == ["email", "number", "word"]
+    assert all(rows[i]["spans"] == rows[i]["base_report"] for i in range(6, len(texts)))
+
+
+def test_common_groups_are_no_entities(spark, table):
+    draw = random.Random(2)
+    filler = lambda n: " ".join(f"w{draw.randrange(400)}" for _ in range(n))
+    texts = [f"{filler(20)} bigmail {filler(5)} p{i}@big.example {filler(10)}" for i in range(60)] + [filler(30) for _ in range(200)]
+    assert all(r["spans"] == r["base_report"] for r in pii.sanitise(spark, table(texts)).collect())
