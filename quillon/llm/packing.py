@@ -2,13 +2,15 @@
 
 A document's tokens, cut at the sequence length, are pieces of 1 to 2048 tokens. How pieces share sequences depends
 only on how many there are of each length, so the driver packs a histogram of at most 2048 entries: around the largest
-piece left, a bounded branch and bound enumerates undominated fillings, starting from the best-fit filling as incumbent, and the
-best one is used as often as the counts allow. Every piece then finds its place from its rank among the pieces of its length.
+piece left, branch and bound enumerates undominated fillings, starting from the best-fit filling as incumbent, the best one is used as often as the
+counts allow, and where that takes more sequences than the tokens need, a search over plans goes back to other fillings. Every piece then finds its place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,9 @@ from .common import over_arrow, written
 from .tokens import BATCH, Encoded, default_vocabulary, word_ids
 
 CAPACITY = 2048
-#: Nodes that the branch and bound visits for one filling before it settles for its incumbent.
-NODES = 400
+#: Nodes that the branch and bound visits for one filling, places that the search over plans looks at beyond its first one, and fillings it tries
+#: at each. None lifts a limit; the plan is optimal without all three.
+NODES, TRIES, WIDE = 400, 2000, 4
 #: Pieces that one ranking task takes, about.
 RANKED = 100_000
 
@@ -49,61 +52,128 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
     return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, run, BATCH)
 
 
-def fill(room: int, counts: np.ndarray, nodes: int = NODES) -> list[tuple[int, int]]:
-    """The lengths (with how often) that best fill `room`: branch and bound over lengths in falling order.
+def fillings(room: int, counts: np.ndarray, most: int | None = NODES, wanted: int | None = 1) -> list[list[tuple[int, int]]]:
+    """The undominated fillings of `room` with the least waste, best first: `wanted` of them at most (None: all), as lists of (length, how often).
 
-    The first descent is best fit: the largest length that fits, as often as it fits. A branch is cut when even
-    filling it with all that is left of smaller lengths can't beat the incumbent's waste, and a length is never used
-    less often than it fits unless the branch goes on to smaller ones, so no filling dominated by another of the same lengths is kept.
+    Branch and bound over lengths in falling order; each length is tried in every number that fits, most first, so the first descent is best
+    fit and the incumbent. A branch is cut when even all that is left of smaller lengths can't beat the worst of the fillings held, and a filling is
+    dominated, and dropped, if one of its pieces could be a longer one that is left over or another piece would still fit. The search visits
+    `most` nodes; None is no limit.
     """
     sizes = np.flatnonzero(counts[: room + 1])[::-1]
     if not len(sizes):
-        return []
-    volume = np.cumsum((sizes * counts[sizes])[::-1])[::-1]
-    best: list[tuple[int, int]] = []
-    best_waste, visited = room + 1, 0
+        return [[]]
+    left_over, falling = [int(s) for s in sizes], (-sizes).tolist()
+    volume = np.cumsum((sizes * counts[sizes])[::-1])[::-1].tolist()
+    best: list[tuple[int, list[tuple[int, int]]]] = []
     stack: list[tuple[int, int, list[tuple[int, int]]]] = [(0, room, [])]
-    while stack and best_waste and visited < nodes:
+    visited = 0
+    while stack and (most is None or visited < most):
         at, left, chosen = stack.pop()
         visited += 1
-        if left < best_waste:
-            best, best_waste = chosen, left
-            if not left:
-                break
-        if at >= len(sizes):
+        at = max(at, bisect_left(falling, -left))  # the largest that fits
+        worst = best[-1][0] if wanted and len(best) == wanted else room + 1
+        if not left or at >= len(left_over):
+            if left < worst and not _dominated(chosen, left, left_over, counts):
+                best = sorted([*best, (left, chosen)], key=lambda x: x[0])[:wanted]
+                if wanted and len(best) == wanted and not best[-1][0]:
+                    break
             continue
-        at = int(np.searchsorted(-sizes, -left, "left")) if sizes[at] > left else at  # the largest that fits
-        if at >= len(sizes) or left - volume[at] >= best_waste:
+        if left - volume[at] >= worst:
             continue
-        size = int(sizes[at])
-        most = int(min(left // size, counts[size]))
-        branches = [(at + 1, left, chosen)]
-        branches += [(at + 1, left - k * size, [*chosen, (size, k)]) for k in range(max(1, most - 2), most + 1)]
-        exact = left - most * size
+        size = left_over[at]
+        fits = int(min(left // size, counts[size]))
+        exact = left - fits * size
+        stack.append((at + 1, left, chosen))
+        stack.extend((at + 1, left - k * size, [*chosen, (size, k)]) for k in range(1, fits + 1))
         if 0 < exact < size and counts[exact] > 0:  # one more piece closes the sequence
-            branches.append((len(sizes), 0, [*chosen, (size, most), (exact, 1)]))
-        stack.extend(branches)
-    return best
+            stack.append((len(left_over), 0, [*chosen, (size, fits), (exact, 1)]))
+    return [chosen for _, chosen in best] or [_best_fit(room, left_over, counts)]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """[(how many sequences, [(length, how often in each), ...]), ...]: each step empties a length, so there are at most `capacity` steps."""
+def _best_fit(room: int, sizes: list[int], counts: np.ndarray) -> list[tuple[int, int]]:
+    out = []
+    for size in sizes:
+        k = int(min(room // size, counts[size]))
+        if k:
+            out.append((size, k))
+            room -= k * size
+    return out
+
+
+def _dominated(chosen: list[tuple[int, int]], waste: int, sizes: list[int], counts: np.ndarray) -> bool:
+    """Whether a piece that is left over fits beside the chosen ones, or in the place of a shorter one."""
+    if not waste:
+        return False
+    used = dict(chosen)
+    free = [s for s in sizes if counts[s] > used.get(s, 0)]
+    return any(s <= waste for s in free) or any(size < s <= size + waste for size in used for s in free)
+
+
+def _after(counts: np.ndarray, largest: int, rest: list[tuple[int, int]]) -> tuple[dict[int, int], int]:
+    """What a sequence of the largest piece and a filling uses, and how many such sequences the counts allow."""
+    use = dict(rest)
+    use[largest] = use.get(largest, 0) + 1
+    return use, int(min(counts[size] // k for size, k in use.items()))
+
+
+def _taken(counts: np.ndarray, use: dict[int, int], times: int) -> np.ndarray:
+    counts = counts.copy()
+    for size, k in use.items():
+        counts[size] -= times * k
+    return counts
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, most: int | None = NODES, tries: int | None = TRIES) -> list[tuple[int, list[tuple[int, int]]]]:
+    """[(how many sequences, [(length, how often in each), ...]), ...].
+
+    Bin completion: the largest piece left gets an undominated filling, as often as the counts allow. The best filling at every place makes the
+    first incumbent. Where its sequences are more than tokens / capacity, the search goes back to take other fillings, or the same less often,
+    pruned by that bound over what is left. It looks at `tries` places of at most WIDE fillings each; with most and tries None it looks at all, and the plan is optimal.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    out = []
-    for largest in range(capacity, 0, -1):
-        while counts[largest]:
-            counts[largest] -= 1
-            rest = fill(capacity - largest, counts)
-            counts[largest] += 1
-            use = dict(rest)
-            use[largest] = use.get(largest, 0) + 1
-            times = int(min(counts[size] // k for size, k in use.items()))
-            for size, k in use.items():
-                counts[size] -= times * k
-            out.append((times, sorted(use.items(), reverse=True)))
-    return out
+    lengths = np.arange(capacity + 1)
+    lowest = -(-int(counts @ lengths) // capacity)
+
+    def choices(counts: np.ndarray, wanted: int | None) -> list[tuple[dict[int, int], int]]:
+        largest = int(np.flatnonzero(counts)[-1])
+        counts = counts.copy()
+        counts[largest] -= 1
+        found = fillings(capacity - largest, counts, most, wanted)
+        counts[largest] += 1
+        return [_after(counts, largest, rest) for rest in found]
+
+    best, left = [], counts
+    while left.any():
+        use, times = choices(left, 1)[0]
+        best.append((times, use))
+        left = _taken(left, use, times)
+    fewest = sum(n for n, _ in best)
+    heap: list[tuple] = [(0, 0, 0, counts, {}, 0, 0, None)]  # places that differ least from the first choices come first, of these the deepest
+    pushed = 0
+    while heap and fewest > lowest and (tries is None or tries > 0):
+        strayed, depth, _, left, use, times, used, steps = heappop(heap)
+        left, used = _taken(left, use, times), used + times
+        if times:
+            steps = (steps, (times, use))
+        if not left.any():
+            if used < fewest:
+                best, fewest = [], used
+                while steps:
+                    steps, step = steps
+                    best.append(step)
+                best.reverse()
+            continue
+        if used - (-int(left @ lengths) // capacity) >= fewest:
+            continue
+        tries = None if tries is None else tries - 1
+        for n, (use, times) in enumerate(choices(left, None if tries is None else WIDE)):
+            for k, less in enumerate(sorted({1, times}, reverse=True)):
+                pushed += 1
+                heappush(heap, (strayed + n + k, depth - 1, pushed, left, use, less, used, steps))
+    return [(times, sorted(use.items(), reverse=True)) for times, use in best]
 
 
 def places(steps: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -68,3 +68,47 @@ def test_empty_and_null(spark, table):
     assert packing.pack(spark, table([])).count() == 0
     rows = packing.pack(spark, spark.createDataFrame([(None, None, 1), (3, "hi there", 2), (3, "hi there", 2)], "doc_id long, text string, length int")).collect()
     assert sorted((r["length"], r["sequence_id"]) for r in rows) == [(1, 0), (3, 0), (3, 0)] and sorted(r["offset"] for r in rows) == [0, 3, 6]
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every bin for every piece."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= lengths[i]}):
+            k = rooms.index(room)
+            put(i + 1, [*rooms[:k], room - lengths[i], *rooms[k + 1 :]])
+        put(i + 1, [*rooms, capacity - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_plan_without_limits_is_optimal():
+    draw = random.Random(7)
+    for _ in range(60):
+        capacity = draw.choice([10, 20, 50])
+        lengths = [draw.randint(1, capacity) for _ in range(draw.randint(1, 9))]
+        steps = packing.plan({x: lengths.count(x) for x in set(lengths)}, capacity, None, None)
+        assert sum(n for n, _ in steps) == fewest(lengths, capacity), (capacity, lengths)
+        assert sorted(s for n, f in steps for _ in range(n) for s, k in f for _ in range(k)) == sorted(lengths)
+
+
+def test_plan_goes_back_on_a_filling():
+    steps = packing.plan({x: 1000 for x in (70, 60, 58, 29, 23, 17, 16, 14, 13)}, 100)
+    assert sum(n for n, _ in steps) == 3000
+
+
+def test_fillings_are_undominated():
+    counts = np.zeros(21, np.int64)
+    counts[[3, 5, 7, 11]] = [2, 1, 4, 1]
+    found = packing.fillings(20, counts, None, None)
+    loads = [sum(s * k for s, k in f) for f in found]
+    assert loads == sorted(loads, reverse=True) and loads[0] == 20 - min(20 - x for x in {3 * a + 5 * b + 7 * c + 11 * d for a in range(3) for b in range(2) for c in range(5) for d in range(2)} if x <= 20)
+    assert len({tuple(sorted(f)) for f in found}) == len(found)
