@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_columns, queries_counting, queries_joins, queries_models, queries_scalars, queries_taxonomy
+from . import queries_columns, queries_counting, queries_joins, queries_models, queries_scalars, queries_sources, queries_taxonomy
 
-_MODULES = (queries_counting, queries_scalars, queries_joins, queries_models, queries_columns, queries_taxonomy)
+_MODULES = (queries_counting, queries_scalars, queries_joins, queries_models, queries_columns, queries_taxonomy, queries_sources)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
