@@ -10,29 +10,42 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import over_arrow, written
+from .common import pieces as slices
+from .common import written
 from .tokens import BATCH, Encoded, default_vocabulary, word_ids
 
 CAPACITY = 2048
 #: Nodes that the branch and bound visits for one filling, places that the search over plans looks at beyond its first one, and fillings it tries
 #: at each. None lifts a limit; the plan is optimal without all three.
 NODES, TRIES, WIDE = 400, 2000, 4
-#: Pieces that one ranking task takes, about.
-RANKED = 100_000
+#: Pieces of one length that a task numbers before it starts a new block.
+BLOCK = 8192
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, and ids if asked for): each document's ids and a closing 0, cut every `capacity` tokens. A null text counts as empty."""
+    """(doc_id, piece, start, length, ids_crc32, part, block, nth, and ids if asked for): each document's ids and a closing 0, cut every `capacity` tokens.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    A task numbers its pieces of one length as it cuts them: `part` is the task, `nth` the number within a block of BLOCK pieces. A null text counts as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            for some in slices(batch, BATCH):
+                yield cut(some, part, seen)
+            pa.default_memory_pool().release_unused()
+
+    def cut(batch: pa.RecordBatch, part: int, seen: np.ndarray) -> pa.RecordBatch:
         flat, bounds = Encoded(batch.column(1), word_ids(path)).ids(0)
         sizes = np.diff(bounds)
         n = -(-sizes // capacity)
@@ -42,14 +55,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
         cuts = np.append(bounds[doc] + start, bounds[-1])
         packed = memoryview(flat.view(np.uint8))
         crc = [zlib.crc32(packed[a:b]) for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True)]
-        columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]
+        length = np.diff(cuts)
+        own = seen[length] + among_equal(length)
+        seen += np.bincount(length, minlength=len(seen))
+        columns = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        columns += [pa.array(np.full(len(doc), part, np.int32)), pa.array((own // BLOCK).astype(np.int32)), pa.array((own % BLOCK).astype(np.int32))]
         if ids:
             columns.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(flat)]))
         return pa.record_batch(columns, names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
-    return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], schema, run, BATCH)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "block", "nth", *(["ids"] if ids else [])]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, block int, nth int" + (", ids binary" if ids else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def among_equal(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one."""
+    order = np.argsort(values, kind="stable")
+    first = np.flatnonzero(np.diff(values[order], prepend=-1))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(first, np.diff(np.append(first, len(values))))
+    return out
 
 
 def fillings(room: int, counts: np.ndarray, most: int | None = NODES, wanted: int | None = 1) -> list[list[tuple[int, int]]]:
@@ -191,14 +217,14 @@ def places(steps: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, in
     return out
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """rows with `rank`, 0, 1, ... within each length: a rank within a slice of the pieces plus the slices before it."""
-    slices = max(1, -(-total // RANKED))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
-    sizes = rows.groupBy("length", "slice").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start")) - 1
-    return rows.withColumn("own", own).join(sizes.select("length", "slice", before.alias("before")), ["length", "slice"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "slice")
+def ranked(rows: DataFrame) -> DataFrame:
+    """The written pieces with `rank`, 0, 1, ... within each length: the number in a block plus the pieces in the blocks before it.
+
+    Only counts of blocks are sorted; a piece moves at most once, to the count of its block, and a block has BLOCK pieces at most.
+    """
+    blocks = rows.groupBy("length", "part", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(blocks.select("length", "part", "block", before.alias("before")), ["length", "part", "block"]).withColumn("rank", F.col("nth") + F.col("before"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -213,7 +239,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
     by_length = table.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "ranks", "sequence", "k", "place"))).alias("places"))
     spot = F.filter("places", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["first"] + p["ranks"]))[0]
     nth = F.col("rank") - F.col("spot.first")
-    out = ranked(rows, sum(histogram.values())).join(F.broadcast(by_length), "length").withColumn("spot", spot)
+    out = ranked(rows).join(F.broadcast(by_length), "length").withColumn("spot", spot)
     return out.select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("spot.sequence") + F.floor(nth / F.col("spot.k"))).cast("long").alias("sequence_id"),
         (F.col("spot.place") + (nth % F.col("spot.k")) * F.col("length")).cast("long").alias("offset"), *(["ids"] if ids else []),

@@ -112,3 +112,17 @@ def test_fillings_are_undominated():
     loads = [sum(s * k for s, k in f) for f in found]
     assert loads == sorted(loads, reverse=True) and loads[0] == 20 - min(20 - x for x in {3 * a + 5 * b + 7 * c + 11 * d for a in range(3) for b in range(2) for c in range(5) for d in range(2)} if x <= 20)
     assert len({tuple(sorted(f)) for f in found}) == len(found)
+
+
+def test_pieces_equal_in_all_columns_have_places_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 7)  # several blocks in each task
+    draw = random.Random(8)
+    rows = [(None, "the same words in many rows", 1)] * 90 + [(5, "the same words in many rows", 2)] * 40 + [(i, "word " * draw.randrange(3000), 3) for i in range(60)] + [(6, None, 4)] * 30
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string, nth int").repartition(5), capacity=512).collect()
+    taken = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    ends = {}
+    for sequence, offset, length in taken:
+        assert ends.get(sequence, 0) == offset
+        ends[sequence] = offset + length
+    assert max(ends.values()) <= 512 and len(ends) <= 1 + -(-sum(r["length"] for r in got) // 512)
+    assert packing.among_equal(np.array([4, 2, 4, 4, 2, 9])).tolist() == [0, 0, 1, 2, 1, 0] and not len(packing.among_equal(np.zeros(0, np.int64)))
