@@ -4,7 +4,7 @@ Each document is the set of its 5-word shingles. Documents with equal sets form
 it. A tree starts by branching the representatives on one minwise token; a node that is too large branches again
 on one or two further minwise tokens chosen from its path (1/threshold branches are expected), and a small node is
 compared exhaustively. Twelve trees miss a pair at the threshold with a chance of 6e-8 where first-level nodes are small;
-where they branch further, each is branched as often as it gets deep, as a pair's chance falls with the depth (README). Comparison in a node uses sketches; every link is then confirmed on the full sets.
+where they must branch further the chance grows with the depth (README). Comparison in a node uses sketches; every link is then confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -131,39 +131,31 @@ def branch(members: DataFrame) -> DataFrame:
 
 
 def _leaves(node: int, tokens: np.ndarray, ids: np.ndarray, small: int) -> Iterator[np.ndarray]:
-    """Positions of the members of each small node under this one.
-
-    A pair at the threshold outlives d levels with a chance of about 1 / d, so a node is branched again from other paths, as often as the deepest of its small nodes lies deep.
-    """
-    deepest, tree = 1, 0
-    while tree < deepest:
-        start = np.uint64(node) if not tree else mixed(np.array([node], np.uint64) + np.uint64(tree))[0]
-        todo = [(start, np.arange(len(ids)), 0)]
-        while todo:
-            path, members, depth = todo.pop()
-            if len(members) < 2:
-                continue
-            deepest = max(deepest, depth)
-            if len(members) <= small:
-                yield members
-                continue
-            if depth == DEPTH or (tokens[members] == tokens[members[0]]).all():
-                order = members[np.argsort(ids[members], kind="stable")]  # sketches that agree throughout: blocks that share the leader
-                for at in range(1, len(order), small - 1):
-                    yield np.concatenate([order[:1], order[at : at + small - 1]])
+    """Positions of the members of each small node under this one."""
+    todo = [(np.uint64(node), np.arange(len(ids)), 0)]
+    while todo:
+        path, members, depth = todo.pop()
+        if len(members) < 2:
+            continue
+        if len(members) <= small:
+            yield members
+            continue
+        if depth == DEPTH or (tokens[members] == tokens[members[0]]).all():
+            order = members[np.argsort(ids[members], kind="stable")]  # sketches that agree throughout: blocks that share the leader
+            for at in range(1, len(order), small - 1):
+                yield np.concatenate([order[:1], order[at : at + small - 1]])
+            continue
+        for coordinate in path_coordinates(np.array([path])):
+            c = int(coordinate[0])
+            if c < 0:
                 continue
-            for coordinate in path_coordinates(np.array([path])):
-                c = int(coordinate[0])
-                if c < 0:
-                    continue
-                values = tokens[members, c]
-                order = np.argsort(values, kind="stable")
-                cuts = np.flatnonzero(np.diff(values[order])) + 1
-                for group in np.split(members[order], cuts):
-                    if len(group) > 1:
-                        child = _child(np.array([path]), np.array([c]), tokens[group[:1], c])[0]
-                        todo.append((child, group, depth + 1))
-        tree += 1
+            values = tokens[members, c]
+            order = np.argsort(values, kind="stable")
+            cuts = np.flatnonzero(np.diff(values[order])) + 1
+            for group in np.split(members[order], cuts):
+                if len(group) > 1:
+                    child = _child(np.array([path]), np.array([c]), tokens[group[:1], c])[0]
+                    todo.append((child, group, depth + 1))
 
 
 def _agreements(tokens: np.ndarray) -> np.ndarray:
@@ -236,7 +228,7 @@ def compare_nodes(members: DataFrame, small: int = SMALL) -> DataFrame:
                 if near[i] >= AGREE:
                     out.append((int(keys[own[i]]), int(keys[own[j]]), 0, None))
             key = int(mixed(np.array([np.uint64(node) + np.uint64(nth)]))[0].view(np.int64))
-            out.extend((key, int(keys[i]), 1, tokens[i].tobytes()) for i in own[np.unique(pairs)])
+            out.extend((key, int(keys[i]), 1, tokens[i].tobytes()) for i in own)
 
     return _by_node(members, flush, ["node", "id", "sketch"], "a long, b long, dense int, sketch binary")
 

@@ -91,26 +91,3 @@ def test_repeated_ids_and_clashing_columns(spark):
     assert {(r["doc_id"], r["_nth"], r["_kept"]) for r in kept.collect()} in ({(1, "a", 7), (None, "d", 1), (None, "e", 2)}, {(1, "a", 7), (2, "c", 9), (None, "d", 1), (None, "e", 2)})
     first = sorted(map(str, kept.collect()))
     assert all(sorted(map(str, near_dedup.without_near_duplicates(spark, docs.repartition(k)).collect())) == first for k in (1, 3))
-
-
-def test_pairs_in_a_source_of_much_boilerplate(spark):
-    draw = np.random.default_rng(11)
-    n = 900
-    common = draw.random(near_dedup.SKETCH) < 0.6
-    tokens = draw.integers(0, 1 << 32, (n, near_dedup.SKETCH)).astype(np.uint32)
-    shared = draw.integers(0, 1 << 32, near_dedup.SKETCH).astype(np.uint32)
-    tokens = np.where(draw.random(tokens.shape) < np.where(common, 0.95, 0.15), shared, tokens)  # about 0.5 of the tokens agree throughout the source
-    for i in range(0, n, 2):
-        tokens[i + 1] = np.where(draw.random(near_dedup.SKETCH) < 0.6, tokens[i], tokens[i + 1])
-    wanted = {(i, i + 1) for i in range(0, n, 2) if (tokens[i] == tokens[i + 1]).sum() >= 46}
-    met = [set() for _ in range(near_dedup.TREES)]
-    depth = []
-    for tree in range(near_dedup.TREES):
-        for group in (np.flatnonzero(tokens[:, tree] == v) for v in np.unique(tokens[:, tree])):
-            if len(group) > 1:
-                for leaf in near_dedup._leaves(int(tree * 1000 + group[0]), tokens[group], group, 16):
-                    depth.append(len(leaf))
-                    inside = set(group[leaf].tolist())
-                    met[tree] |= {p for p in wanted if p[0] in inside and p[1] in inside}
-    assert max(depth) <= 16 and len(wanted) > 100
-    assert set.union(*met) == wanted
