@@ -125,6 +125,14 @@ def rounded(x: ColumnLike, places: int) -> Column:
     return F.round(col(x), places)
 
 
+def half_away(x: ColumnLike, places: int) -> Column:
+    """x rounded as the double it is, halves away from zero: the product with 10^places is rounded, as SQL engines with binary doubles do. F.round takes the shortest decimal instead."""
+    scaled = F.abs(col(x).cast("double")) * float(10**places)
+    whole = F.floor(scaled).cast("double")  # exact below 2^53, beyond which there is nothing to round
+    up = F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole)
+    return F.when(scaled < float(1 << 53), F.signum(col(x).cast("double")) * up / float(10**places)).otherwise(col(x).cast("double")) + 0.0
+
+
 def log_odds(a: ColumnLike, b: ColumnLike) -> Column:
     return F.log2(col(a) / col(b))
 

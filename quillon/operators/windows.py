@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.mathfn import half_away
+
 
 def running_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Sums up to and with each row; `order` has to be total."""
@@ -34,8 +36,8 @@ def first_k(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column |
 
 
 def score_histogram(df: DataFrame, score: str, places: int = 3) -> DataFrame:
-    """(bin, n, p): scores rounded after a nudge of a ten-thousandth. Bins number at most 10^places for each unit of score."""
-    counts = df.groupBy(F.round(F.col(score) + 0.1 / 10**places, places).alias("bin")).agg(F.count("*").alias("n"))
+    """(bin, n, p): scores rounded after a nudge of a tenth of a bin. Bins number at most 10^places for each unit of score."""
+    counts = df.groupBy(half_away(F.col(score) + 0.1 / 10**places, places).alias("bin")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_t"))
     return counts.join(F.broadcast(total)).select("bin", "n", (F.col("n") / F.col("_t")).alias("p"))  # one row
 
@@ -43,7 +45,8 @@ def score_histogram(df: DataFrame, score: str, places: int = 3) -> DataFrame:
 def empirical_cdf(df: DataFrame, score: str, places: int = 3) -> DataFrame:
     """(bin, n, p, cdf) over the binned scores."""
     rows = score_histogram(df, score, places)
-    return rows.withColumn("cdf", F.sum("p").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))  # bins only
+    below = F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))  # bins only
+    return rows.withColumn("cdf", below / F.sum("n").over(Window.partitionBy()))  # whole counts, so that no rounding adds up
 
 
 def cdf_cut(df: DataFrame, score: str, dy: float, most: float, places: int = 3) -> DataFrame:
