@@ -1,5 +1,8 @@
 """Results that only larger tables or repeated rows show."""
 
+import itertools
+import random
+
 import duckdb
 
 from quillon.plans import queries_scalars as scalars
@@ -13,11 +16,51 @@ def by_sql(sql, path, *names):
     with duckdb.connect() as c:
         for name in names:
             c.sql(f"create view {name} as select * from '{path}/{name}.parquet/*.parquet'")
-        return sorted(c.sql(sql).fetchall())
+        return c.sql(sql).fetchall()
 
 
 def test_empirical_cdf_halfway_bins(spark, tmp_path):
     values = [k / 10 for k in range(1, 3000)] + [None]  # value / 1000 + 0.0001 often lies halfway between two bins
     spark.createDataFrame([(k, v) for k, v in enumerate(values)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     for name in ("empirical_cdf", "cdf_cutpoint"):
-        assert rows_of(scalars.QUERIES[name](spark, str(tmp_path))) == by_sql(scalars.ORACLE_SQL[name], tmp_path, "events")
+        assert rows_of(scalars.QUERIES[name](spark, str(tmp_path))) == sorted(by_sql(scalars.ORACLE_SQL[name], tmp_path, "events"))
+
+
+#: The pairs of parts one by one, as the classes stand for them.
+_PAIRS = "with p as (select a.p_partkey as i, b.p_partkey as j, a.p_name as a, b.p_name as b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey) "
+
+
+def write_parts(spark, path, copies):
+    draw = random.Random(3)
+    names = ["hot bolt", "cold plate", "cold plate old", "x", "hot  bolt", None]
+    rows = [(k, draw.choice(names), draw.choice(["A", "B", None]), draw.choice(["S", "T"])) for k in range(24 * copies)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{path}/part.parquet")
+
+
+def expanded(rows, ordered):
+    """Every pair i < j of a block, with its values: what the classes say."""
+    of = {r["i"]: r["j"] for r in rows if r["kind"] == "member"}
+    copies = {r["j"]: tuple(r)[3:] for r in rows if r["kind"] == "member"}
+    apart = {(r["i"], r["j"]): tuple(r)[3:] for r in rows if r["kind"] == "pair"}
+    assert len(of) + len(apart) == len(rows)
+    out = []
+    for x, y in itertools.combinations(sorted(of), 2):
+        a, b = of[x], of[y]
+        values = copies[a] if a == b else apart.get((a, b) if ordered else (min(a, b), max(a, b)))
+        if values is not None:
+            out.append((x, y, *values))
+    return out
+
+
+def pairs_hold(spark, tmp_path, name, measures, ordered=False):
+    write_parts(spark, tmp_path, 4)
+    rows = scalars.QUERIES[name](spark, str(tmp_path)).collect()
+    order = lambda found: sorted(str(tuple(r)) for r in found)
+    assert order(expanded(rows, ordered)) == order(by_sql(_PAIRS + measures, tmp_path, "part"))
+    assert order(rows) == order(by_sql(scalars.ORACLE_SQL[name], tmp_path, "part"))
+    assert len(rows) < 24 * 4 + 4 * 6 * 6  # parts and pairs of names, not pairs of parts
+
+
+def test_ngram_compare_pairs_by_class(spark, tmp_path):
+    measures = f", g as (select i, j, {scalars._G.format('a')} as x, {scalars._G.format('b')} as y from p) select i, j, round(2 * len(list_intersect(x, y)) / (len(x) + len(y))::double, 6) from g"
+    pairs_hold(spark, tmp_path, "ngram_compare_pairs", measures)
