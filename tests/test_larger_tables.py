@@ -64,3 +64,8 @@ def pairs_hold(spark, tmp_path, name, measures, ordered=False):
 def test_ngram_compare_pairs_by_class(spark, tmp_path):
     measures = f", g as (select i, j, {scalars._G.format('a')} as x, {scalars._G.format('b')} as y from p) select i, j, round(2 * len(list_intersect(x, y)) / (len(x) + len(y))::double, 6) from g"
     pairs_hold(spark, tmp_path, "ngram_compare_pairs", measures)
+
+
+def test_edist_toss_keep_by_class(spark, tmp_path):
+    measures = "select i, j, length(b) > 0.7 * length(a) and abs(levenshtein(a, b) - length(a)) / length(a)::double >= 0.5 from p"
+    pairs_hold(spark, tmp_path, "edist_toss_keep", measures, ordered=True)
