@@ -75,3 +75,7 @@ def test_set_similarities_by_class(spark, tmp_path):
     measures = """, g as (select i, j, list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from p), m as (select i, j, len(x) as x, len(y) as y, len(list_intersect(x, y)) as m from g)
     select i, j, round(m / (x + y - m)::double, 6), round(1 - m / (x + y - m)::double, 6), round(2 * m / (x + y)::double, 6), round(m / (m + 0.3 * (x - m) + 0.7 * (y - m))::double, 6) from m"""
     pairs_hold(spark, tmp_path, "set_similarities", measures, ordered=True)
+
+
+def test_levenshtein_pairs_by_class(spark, tmp_path):
+    pairs_hold(spark, tmp_path, "levenshtein_pairs", "select i, j, levenshtein(a, b)::int from p")
