@@ -1,13 +1,16 @@
 """Clustering: distances, nearest centres, k-means, neighbour graphs, validity indices.
 
 Points are (id, v ARRAY<DOUBLE>); centres (cluster, center). The centres are few, k by parameter, and are broadcast by that bound.
-All-pairs operators work on a table of points of a stated block key, so work is quadratic in a block only.
+All-pairs operators work on a table of points of a stated block key, so work is quadratic in a block only. Neighbours are found tile by tile
+with matrix products; no pair is a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,6 +116,123 @@ def knn_graph(pairs: DataFrame, k: int) -> DataFrame:
     return both_ways(pairs).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("i").alias("src"), F.col("j").alias("dst"), "d", "rank")
 
 
+#: Points of a tile of queries and of a tile of their candidates, and tiles of queries of a block at most: each copies the block's candidates once.
+QUERIES, CANDIDATES, COPIES = 2048, 32_768, 24
+
+
+def _tiles(points: DataFrame, block: str | None) -> tuple[DataFrame, DataFrame]:
+    """Points as queries and as candidates: (block, q, c, id, v), each query in every tile of its block's candidates and the other way round."""
+    rows = points.select((F.col(block) if block else F.lit(0)).alias("block"), F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).dropna(subset=["block", "id"])
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > QUERIES)
+    parts = lambda most: F.ceil(F.col("n") / most).cast("int")
+    sizes = sizes.select("block", F.least(parts(QUERIES), F.greatest(F.lit(COPIES), parts(CANDIDATES))).alias("_q"), parts(CANDIDATES).alias("_c"))  # large blocks only, fewer than points / QUERIES
+    sized = rows.join(F.broadcast(sizes), "block", "left").withColumns({"_q": F.coalesce("_q", F.lit(1)), "_c": F.coalesce("_c", F.lit(1))})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = sized.select("block", own("_q").alias("q"), every("_c").alias("c"), "id", "v")
+    candidates = sized.select("block", every("_q").alias("q"), own("_c").alias("c"), "id", "v")
+    return queries.toDF(*queries.columns), candidates.toDF(*candidates.columns)  # columns of their own, as both come from one table
+
+
+def _matrix(lists: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of a matrix with 0 for missing places, and which places are there."""
+    sizes, values = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lists.flatten()
+    there = np.arange(width) < sizes[:, None]
+    out = np.zeros(there.shape)
+    out[there] = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    if values.null_count:
+        there[there] = values.is_valid().to_numpy(zero_copy_only=False)
+    return out, there
+
+
+def _sequential_distances(a: np.ndarray, b: np.ndarray, both: np.ndarray | None) -> np.ndarray:
+    """Euclidean distances of rows, summed from the first place to the last as the Column `euclid` does, so that equal distances are equal here too."""
+    square = (a - b) ** 2 if both is None else np.where(both, (a - b) ** 2, 0.0)
+    return np.sqrt(np.cumsum(square, axis=1)[:, -1]) if square.shape[1] else np.zeros(len(square))
+
+
+def _nearest(query_ids: np.ndarray, a: np.ndarray, a_there: np.ndarray, ids: np.ndarray, b: np.ndarray, b_there: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, d, none): the k candidates of another id that are nearest to each query by (d, id), fewer where there are fewer. NaN comes late, pairs without a common place (none) last.
+
+    A matrix product gives distances up to a rounding error; whatever lies within that error of the k-th is measured again, place by place. Copies of a vector are one
+    column of the product: of each only the least ids can be among the nearest.
+    """
+    order = np.lexsort([ids])
+    ids, b, b_there = ids[order], b[order], b_there[order]
+    most = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # rows of one id
+    take = k + most  # enough once a query's own id is left out
+    rows_of = lambda x, there: np.ascontiguousarray(np.hstack([x + 0.0, there])).view(np.dtype((np.void, 16 * x.shape[1]))).ravel()
+    _, first, of = np.unique(rows_of(b, b_there), return_index=True, return_inverse=True)
+    members = np.argsort(of, kind="stable")  # by vector, then by id
+    sizes = np.bincount(of, minlength=len(first))
+    begin = np.cumsum(sizes) - sizes
+    x, x_there = b[first], b_there[first]
+    whole = bool(a_there.all() and x_there.all())
+    with np.errstate(all="ignore"):
+        a2, x2 = a * a, x * x
+        left, right = (a2.sum(axis=1), x2.sum(axis=1))
+        slack = 1e-10 * (left[:, None].max(initial=0.0) + right.max(initial=0.0))
+        out = [(query_ids[:0], ids[:0], np.zeros(0), np.zeros(0, bool))]
+        step = max(1, (4 << 20) // max(1, len(x)))
+        for at in range(0, len(a), step):
+            part = slice(at, at + step)
+            near = -2.0 * (a[part] @ x.T)
+            near += left[part, None] + right if whole else a2[part] @ x_there.T.astype(float) + a_there[part].astype(float) @ x2.T
+            unsure = ~np.isfinite(near)
+            near[unsure] = np.inf
+            if not whole:
+                near[a_there[part].astype(np.float32) @ x_there.T.astype(np.float32) == 0] = np.inf
+            limit = np.partition(near, take - 1, axis=1)[:, take - 1] + slack if near.shape[1] > take else np.full(len(near), np.inf)
+            i, j = np.nonzero((near <= limit[:, None]) | unsure)
+            both = None if whole else a_there[part][i] & x_there[j]
+            exact = _sequential_distances(a[part][i], x[j], both)
+            none = np.zeros(len(i), bool) if whole else ~both.any(axis=1)
+            count = np.minimum(sizes[j], take)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found = ids[members[np.repeat(begin[j], count) + place]]
+            i, exact, none = (np.repeat(each, count) for each in (i, exact, none))
+            other = np.flatnonzero(found != query_ids[part][i])
+            by = other[np.lexsort([found[other], exact[other], none[other], i[other]])]
+            rank = np.arange(len(by)) - np.searchsorted(i[by], i[by])
+            best = by[rank < k]
+            out.append((query_ids[part][i[best]], found[best], exact[best], none[best]))
+    return tuple(np.concatenate(each) for each in zip(*out, strict=True))
+
+
+def _unmeasured(query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst): the k least ids besides each query's own, for pairs without a distance."""
+    least = np.unique(ids)[: k + 1]
+    src, dst = np.repeat(query_ids, len(least)), np.tile(least, len(query_ids))
+    return src[src != dst], dst[src != dst]
+
+
+def nearest_neighbours(points: DataFrame, k: int, block: str | None = None) -> DataFrame:
+    """(src, dst, d, rank): what knn_graph gives for Euclidean pair distances, without a row for each pair.
+
+    Exact, over all points of a block. Vectors without a common place (nulls, empty ones) have no distance (null), which comes last. A point with a null id or block has no neighbours and is none.
+    """
+    queries, candidates = _tiles(points, block)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = [t.column("v").combine_chunks() for t in (left, right)]
+        width = max([1, *(int(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max(initial=0)) for v in lists)])
+        (a, a_there), (b, b_there) = (_matrix(v, width) for v in lists)
+        a_ids, b_ids = (t.column("id").to_numpy() for t in (left, right))
+        known, measured = a_there.any(axis=1), b_there.any(axis=1)
+        near = (a_ids[:0], b_ids[:0], np.zeros(0), np.zeros(0, bool))
+        if known.any() and measured.any():
+            near = _nearest(a_ids[known], a[known], a_there[known], b_ids[measured], b[measured], b_there[measured], k)
+        rest = [(*_unmeasured(*pair, k),) for pair in ((a_ids[~known], b_ids), (a_ids[known], b_ids[~measured]))]
+        src, dst = (np.concatenate(each) for each in zip(near[:2], *rest, strict=True))
+        more = len(src) - len(near[0])
+        return pa.table({"src": src, "dst": dst, "d": pa.array(np.append(near[2], np.zeros(more)), mask=np.append(near[3], np.ones(more, bool)))})
+
+    keys = ["block", "q", "c"]
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, "src long, dst long, d double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("d").asc_nulls_last(), "dst")))  # few rows from each tile
+    return ranked.filter(F.col("rank") <= k)
+
+
 def reverse_knn(knn: DataFrame) -> DataFrame:
     """(id, n, sources): who has each point among its nearest."""
     return knn.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("src")).alias("sources"))

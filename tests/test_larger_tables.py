@@ -5,6 +5,8 @@ import random
 
 import duckdb
 
+from quillon.operators import cluster
+from quillon.plans import queries_models as models
 from quillon.plans import queries_scalars as scalars
 
 
@@ -79,3 +81,25 @@ def test_set_similarities_by_class(spark, tmp_path):
 
 def test_levenshtein_pairs_by_class(spark, tmp_path):
     pairs_hold(spark, tmp_path, "levenshtein_pairs", "select i, j, levenshtein(a, b)::int from p")
+
+
+def write_vectors(spark, path):
+    draw = random.Random(5)
+    vectors = [[draw.gauss(0, 1) for _ in range(3)] for _ in range(40)] + [[1.0, 2.0, 3.0]] * 12 + [[float(k % 3), float(k % 2), 0.0] for k in range(24)]  # copies and equal distances
+    vectors += [None, None, [], [1.0], [1.0, None, 2.0], [-0.0, 0.0, 0.0]]
+    draw.shuffle(vectors)
+    rows = [(7 * k % 97, v, draw.choice([1, 1, 2, 3, None])) for k, v in enumerate(vectors)] + [(200, [0.5] * 3, 9), (201, [0.5] * 3, 9)]  # a small block
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+def neighbours_hold(spark, path, name, monkeypatch):
+    write_vectors(spark, path)
+    expected = sorted(by_sql(models.ORACLE_SQL[name], path, "embeddings"))
+    assert rows_of(models.QUERIES[name](spark, str(path))) == expected
+    monkeypatch.setattr(cluster, "QUERIES", 5)  # many tiles
+    monkeypatch.setattr(cluster, "CANDIDATES", 8)
+    assert rows_of(models.QUERIES[name](spark, str(path))) == expected
+
+
+def test_knn_graph_by_tiles(spark, tmp_path, monkeypatch):
+    neighbours_hold(spark, tmp_path, "knn_graph", monkeypatch)
