@@ -103,3 +103,7 @@ def neighbours_hold(spark, path, name, monkeypatch):
 
 def test_knn_graph_by_tiles(spark, tmp_path, monkeypatch):
     neighbours_hold(spark, tmp_path, "knn_graph", monkeypatch)
+
+
+def test_krnn_graph_by_tiles(spark, tmp_path, monkeypatch):
+    neighbours_hold(spark, tmp_path, "krnn_graph", monkeypatch)
