@@ -207,7 +207,7 @@ def _unmeasured(query_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def nearest_neighbours(points: DataFrame, k: int, block: str | None = None) -> DataFrame:
-    """(src, dst, d, rank): what knn_graph gives for Euclidean pair distances, without a row for each pair.
+    """(block, src, dst, d, rank): what knn_graph gives for Euclidean pair distances, without a row for each pair. Block is the one that the row was found in.
 
     Exact, over all points of a block. Vectors without a common place (nulls, empty ones) have no distance (null), which comes last. A point with a null id or block has no neighbours and is none.
     """
@@ -225,10 +225,11 @@ def nearest_neighbours(points: DataFrame, k: int, block: str | None = None) -> D
         rest = [(*_unmeasured(*pair, k),) for pair in ((a_ids[~known], b_ids), (a_ids[known], b_ids[~measured]))]
         src, dst = (np.concatenate(each) for each in zip(near[:2], *rest, strict=True))
         more = len(src) - len(near[0])
-        return pa.table({"src": src, "dst": dst, "d": pa.array(np.append(near[2], np.zeros(more)), mask=np.append(near[3], np.ones(more, bool)))})
+        name = (left if left.num_rows else right).column("block").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(src), np.int64)))
+        return pa.table({"block": name, "src": src, "dst": dst, "d": pa.array(np.append(near[2], np.zeros(more)), mask=np.append(near[3], np.ones(more, bool)))})
 
     keys = ["block", "q", "c"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, "src long, dst long, d double")
+    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(run, f"block {queries.schema['block'].dataType.simpleString()}, src long, dst long, d double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.col("d").asc_nulls_last(), "dst")))  # few rows from each tile
     return ranked.filter(F.col("rank") <= k)
 
@@ -258,12 +259,19 @@ def fold_outliers(knn: DataFrame, membership: DataFrame) -> DataFrame:
 
 def krnn_clusters(points: DataFrame, k: int, metric: Metric = euclid, block: str | None = None) -> DataFrame:
     """(id, cluster): reverse-neighbour clustering: strong components of the core graph, then outliers folded in."""
-    from .graph import strong_components
+    from .graph import settled, strong_components, strong_components_by_block
 
-    knn = knn_graph(pair_distances(points, metric, block), k)
+    if metric is not euclid:
+        knn = settled(knn_graph(pair_distances(points, metric, block), k))
+    else:
+        knn = settled(nearest_neighbours(points, k, block))  # read by each of the steps below
     core, _ = split_by_degree(knn, k)
-    comps = strong_components(core).select("id", F.col("component").alias("cluster"))
-    return fold_outliers(knn, comps)
+    several = knn.select("src", "block").distinct().groupBy("src").count().filter("count > 1") if metric is euclid else None
+    if several is not None and several.limit(1).count() == 0:  # no id is in two blocks, so no edge joins blocks
+        comps = strong_components_by_block(core.join(knn.select("src", "dst", "block"), ["src", "dst"]), "block")
+    else:
+        comps = strong_components(core)
+    return fold_outliers(knn, comps.select("id", F.col("component").alias("cluster")))
 
 
 def center_distances(centers: DataFrame, metric: Metric = euclid) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,54 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found if found is not None else left.select("id", F.col("id").alias("component"))
 
 
+def _strong(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, component of each): Tarjan's algorithm with a stack of its own, linear in the edges."""
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    order = np.argsort(a, kind="stable")
+    to, begin = b[order].tolist(), np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist()
+    place, low, open_, component = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [0] * len(ids)
+    following, stack, seen = begin[:-1], [], 0
+    for root in range(len(ids)):
+        path = [root] if place[root] < 0 else []
+        while path:
+            v = path[-1]
+            if place[v] < 0:
+                place[v] = low[v] = seen
+                seen += 1
+                stack.append(v)
+                open_[v] = True
+            if following[v] < begin[v + 1]:
+                w = to[following[v]]
+                following[v] += 1
+                if place[w] < 0:
+                    path.append(w)
+                elif open_[w]:
+                    low[v] = min(low[v], place[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == place[v]:
+                members = [stack.pop()]
+                while members[-1] != v:
+                    members.append(stack.pop())
+                least = min(members)  # ids are sorted
+                for w in members:
+                    open_[w], component[w] = False, least
+    return ids, ids[component] if len(ids) else ids
+
+
+def strong_components_by_block(edges: DataFrame, block: str) -> DataFrame:
+    """strong_components of edges (block, src, dst) that never leave their block, in one pass: each block's edges are held by one task, about 200 bytes an edge."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, component = _strong(rows.column("src").to_numpy(), rows.column("dst").to_numpy())
+        return pa.table({"id": ids, "component": component})
+
+    return edges.select(block, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).groupBy(block).applyInArrow(run, "id long, component long")
+
+
 def ancestor_paths(tree: DataFrame, skip_root: bool = True) -> DataFrame:
     """(id, path, depth): ids from the root to each node; the root itself left out of paths if asked. Rows whose parent is null or themselves are roots."""
     rows = tree.select("id", "parent_id")

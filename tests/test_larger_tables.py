@@ -5,7 +5,7 @@ import random
 
 import duckdb
 
-from quillon.operators import cluster
+from quillon.operators import cluster, graph
 from quillon.plans import queries_models as models
 from quillon.plans import queries_scalars as scalars
 
@@ -107,3 +107,18 @@ def test_knn_graph_by_tiles(spark, tmp_path, monkeypatch):
 
 def test_krnn_graph_by_tiles(spark, tmp_path, monkeypatch):
     neighbours_hold(spark, tmp_path, "krnn_graph", monkeypatch)
+
+
+def test_components_by_block_need_no_rounds(spark, tmp_path, monkeypatch):
+    draw = random.Random(6)
+    edges = [(b, 100 * b + draw.randrange(25), 100 * b + draw.randrange(25)) for b in range(4) for _ in range(30)]
+    df = spark.createDataFrame(edges, "b int, src long, dst long")
+    expected = rows_of(graph.strong_components(df))
+    assert rows_of(graph.strong_components_by_block(df, "b")) == expected and len({c for _, c in expected}) < len(expected)
+    spark.createDataFrame([(i, [draw.gauss(3.0 * (i % 5), 1.0) for _ in range(3)], i % 2) for i in range(80)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    points, steps, settled = models._all_points(spark, str(tmp_path)), [], graph.settled
+    knn = cluster.knn_graph(cluster.pair_distances(points, block="label"), 4)
+    by_rounds = cluster.fold_outliers(knn, graph.strong_components(cluster.split_by_degree(knn, 4)[0]).withColumnRenamed("component", "cluster"))
+    expected = rows_of(by_rounds)
+    monkeypatch.setattr(graph, "settled", lambda df: steps.append(df) or settled(df))
+    assert rows_of(models.krnn_clusters(spark, str(tmp_path))) == expected and len(steps) == 1
