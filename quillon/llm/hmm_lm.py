@@ -1,8 +1,8 @@
 """Language-model scoring with a hidden Markov model (operator 9).
 
 Every training word counts. The most frequent words are classes of their own, the others share classes by their shape, and latent
-states emit classes. Baum-Welch starts on a bounded sample of sequences and goes on over the whole training part: each
-partition's expected counts are summed by Spark. A text's probability is the exact likelihood of its class sequence, by the scaled forward
+states emit classes. Every round of Baum-Welch goes over the whole training part: each partition's expected counts are summed
+by Spark; the first rounds take longer steps. A text's probability is the exact likelihood of its class sequence, by the scaled forward
 recursion over the whole text, times each word's share of its class.
 
 Words meet their counts bucket by bucket: texts are dealt into buckets of bounded size, each bucket asks the count table for its
@@ -12,7 +12,7 @@ own words, and is scored with them; no vocabulary is ever broadcast.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +24,8 @@ from .common import forget, over_arrow, raw, written
 
 FREQUENT, SHAPES = 4096, 1024
 STATES = 8
-#: Sequences that start the training on the driver, rounds there, and rounds over the whole training part.
-SAMPLE, EARLY, ROUNDS = 1500, 25, 2
+#: Rounds over the whole training part, how many of them, the first, step further than maximisation does, and how much further (in logarithms).
+ROUNDS, LONG, STEP = 6, 4, 1.5
 #: Tokens of a training sequence; a longer text is several sequences, each of which begins with the last token of the one before, so that
 #: every move between neighbours is counted. Scoring never cuts.
 STRETCH = 400
@@ -220,44 +220,62 @@ def improved(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, backg
     return Model(start, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
 
+def further(old: Model, new: Model, step: float) -> Model:
+    """Past the new model by `step` times the way from the old one, in logarithms (over-relaxed expectation-maximisation)."""
+
+    def along(a: np.ndarray, b: np.ndarray, axis: int) -> np.ndarray:
+        x = step * np.log(b) + (1 - step) * np.log(a)
+        x = np.exp(x - x.max(axis=axis, keepdims=True))
+        x = np.maximum(x, 1e-30)
+        return x / x.sum(axis=axis, keepdims=True)
+
+    return Model(along(old.start, new.start, 0), along(old.move, new.move, 1), along(old.emit, new.emit, 0))
+
+
+def fitted(model: Model, background: np.ndarray, counts: Callable[[Model], tuple[np.ndarray, np.ndarray, np.ndarray, float]]) -> Model:
+    """The model after ROUNDS of Baum-Welch, given what a model comes to over all training sequences. A long step that lost likelihood is taken back to a plain one."""
+    plain, best = model, -np.inf
+    for done in range(ROUNDS):
+        starts, moves, emissions, likelihood = counts(model)
+        if not starts.sum():
+            break
+        if not likelihood >= best and model is not plain:  # NaN too
+            model = plain
+            continue
+        best, plain = likelihood, improved(starts, moves, emissions, background)
+        model = further(model, plain, STEP) if done < LONG else plain
+    return model
+
+
 def train(table: DataFrame, vocab: Vocabulary, seed: int = 3) -> Model:
     background = (vocab.class_tokens + 0.5) / (vocab.class_tokens + 0.5).sum()
     draw = np.random.default_rng(seed)
     noise = np.exp(0.7 * draw.standard_normal((CLASSES, STATES)))
     model = improved(np.ones(STATES), np.full((STATES, STATES), 1.0) + 60 * np.eye(STATES), 1000 * background[:, None] * noise, background)
-    place, n = F.pmod(F.xxhash64("doc_id", "part", "classes"), F.lit(1 << 40)), table.count()
-    few = table.withColumn("place", place).filter(F.col("place") < int((1 << 40) * min(1.0, (1.5 * SAMPLE + 50) / max(n, 1))))  # so that no task sends more than its share
-    sample = few.orderBy("place", "doc_id", "part").limit(SAMPLE).collect()
-    values = [np.frombuffer(r["classes"], np.uint16).astype(np.int64) for r in sample]
-    first = np.array([r["first"] for r in sample], bool)
-    for _ in range(EARLY if values else 0):
-        model = improved(*expected(values, first, model)[:3], background)
-    for _ in range(ROUNDS if values else 0):
-        model = improved(*corpus_counts(table, model), background)
-    return model
+    return fitted(model, background, lambda now: corpus_counts(table, now))
 
 
-def corpus_counts(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training sequences: each task sums its own, Spark sums the tasks', cell by cell."""
+def corpus_counts(table: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts and log-likelihood over all training sequences: each task sums its own, Spark sums the tasks', cell by cell."""
     k = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k + k * k + CLASSES * k)
+        total = np.zeros(k + k * k + CLASSES * k + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1500):
                 part = batch.slice(at, 1500)
                 values = [np.frombuffer(c, np.uint16).astype(np.int64) for c in part.column(1).to_pylist()]
-                starts, moves, emissions, _ = expected(values, part.column(0).to_numpy(zero_copy_only=False).astype(bool), model)
-                total += np.concatenate([starts, moves.ravel(), emissions.ravel()])
+                starts, moves, emissions, likelihood = expected(values, part.column(0).to_numpy(zero_copy_only=False).astype(bool), model)
+                total += np.concatenate([starts, moves.ravel(), emissions.ravel(), [likelihood]])
         cells = np.flatnonzero(total)
         if len(cells):
             yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "value"])
 
     rows = table.select("first", "classes").mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    total = np.zeros(k + k * k + CLASSES * k)
+    total = np.zeros(k + k * k + CLASSES * k + 1)
     for r in rows:
         total[r["cell"]] = r["value"]
-    return total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k :].reshape(CLASSES, k)
+    return total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : -1].reshape(CLASSES, k), float(total[-1])
 
 
 def score_texts(texts: list[bytes | None], words: list[bytes], counts: np.ndarray, vocab: Vocabulary, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -206,3 +206,39 @@ def test_token_counts(spark, table, odd_texts):
         assert rows[i]["n_tokens"] == count(t) and rows[i]["n_edited"] == count("Revised. " + t[:half] + " struck " + t[half:] + " end of note")
     assert rows[len(odd_texts) - 3]["n_reencoded"] < 400 < rows[len(odd_texts) - 3]["n_words"]
     assert edit_counts.token_counts(spark, table([])).count() == 0
+
+
+def test_training_takes_every_sequence_in_every_round(spark):
+    draw = np.random.default_rng(2)
+    values = [draw.integers(0, 40, 12) + 40 * (i % 2) for i in range(2100)]
+    rows = [(i, 0, i % 3 > 0, v.astype(np.uint16).tobytes()) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "doc_id long, part int, first boolean, classes binary").repartition(3)
+    tokens = np.bincount(np.concatenate(values), minlength=hmm_lm.CLASSES).astype(float)
+    vocab = hmm_lm.Vocabulary(int(tokens.sum()), 80, 0, {}, tokens, np.ones(hmm_lm.CLASSES))
+    seen = []
+
+    def counts(model):  # all of them at once
+        found = hmm_lm.expected(values, np.array([i % 3 > 0 for i in range(len(values))]), model)
+        seen.append(found[3])
+        return found
+
+    background = (tokens + 0.5) / (tokens + 0.5).sum()
+    noise = np.exp(0.7 * np.random.default_rng(3).standard_normal((hmm_lm.CLASSES, hmm_lm.STATES)))
+    first = hmm_lm.improved(np.ones(hmm_lm.STATES), np.full((hmm_lm.STATES, hmm_lm.STATES), 1.0) + 60 * np.eye(hmm_lm.STATES), 1000 * background[:, None] * noise, background)
+    model, whole = hmm_lm.train(table, vocab), hmm_lm.fitted(first, background, counts)
+    assert np.allclose(model.move, whole.move, rtol=1e-2, atol=1e-4) and np.allclose(model.emit, whole.emit, rtol=1e-2, atol=1e-5)
+    assert len(seen) == hmm_lm.ROUNDS and seen[-1] > seen[0]
+
+
+def test_long_steps_that_lose_are_taken_back():
+    k, draw = hmm_lm.STATES, np.random.default_rng(1)
+    background = np.full(hmm_lm.CLASSES, 1 / hmm_lm.CLASSES)
+    start = hmm_lm.improved(np.ones(k), np.ones((k, k)), draw.random((hmm_lm.CLASSES, k)), background)
+    likelihoods, asked = iter([-5.0, -9.0, -4.0, -3.0, -2.0, -1.0]), []
+
+    def counts(model):
+        asked.append(model)
+        return np.ones(k), np.full((k, k), 5.0), draw.random((hmm_lm.CLASSES, k)), next(likelihoods)
+
+    hmm_lm.fitted(start, background, counts)
+    assert not np.allclose(asked[1].emit, asked[2].emit) and np.allclose(asked[2].start, np.full(k, 1 / k))
