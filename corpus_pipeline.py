@@ -11,19 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import decontamination, near_dedup, packing, pii, quality_classifier
 from quillon.llm.common import written
 
+#: Bytes of rows that the JVM sends to a Python worker at once. Both hold a batch several times over; no result depends on where batches end.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Hold this session's Arrow batches to BATCH_BYTES, whatever the documents' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality label is 1."""
+    in_small_batches(spark)
     return quality_classifier.good_rows(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of least id."""
+    in_small_batches(spark)
     return near_dedup.without_near_duplicates(spark, docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
+    in_small_batches(spark)
     return decontamination.clean_rows(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -34,6 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their token ids, and their places in sequences of 2048 tokens."""
+    in_small_batches(spark)
     return packing.pack(spark, docs, ids=True)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from ..operators.graph import shared_folder
 GOLDEN = 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_KEPT: dict[str, Any] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,10 +52,27 @@ def over_arrow(df: DataFrame, columns: list[str], schema: str | StructType, fn:
                 if out is not None and out.num_rows:
                     yield out
             pa.default_memory_pool().release_unused()
+        batch = piece = out = None
+        at_rest()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def at_rest() -> None:
+    """Give back to the system what this worker's task no longer uses: Spark keeps the worker beside the executor for tasks to come."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What this worker keeps from task to task under a name: one thing at a time, so what an earlier step kept goes when the next one begins."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def rows_where(df: DataFrame, column: str, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
     """The rows of df, with all columns, that keep() says yes to, given the UTF-8 texts of a column."""
     at = df.columns.index(column)
@@ -94,6 +115,11 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes() -> WordHashes:
+    """This worker's hashes of words, kept from task to task."""
+    return kept("hashes", WordHashes)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Rolling, WordHashes, forget, mixed, over_arrow, raw, written
+from .common import Rolling, WordHashes, at_rest, forget, mixed, over_arrow, raw, word_hashes, written
 from .components import connected_components
 
 WIDTH = 5
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, sig, sketch) of every document: the set's size, a 128-bit digest and the minwise tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = _words()
+        hashes = word_hashes()
         sizes, sigs, sketches = [], [], []
         for text in raw(batch.column(1)):
             found = shingles(text, hashes)
@@ -75,16 +75,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return over_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], "doc_id long, n_shingles long, sig binary, sketch binary", run)
 
 
-_HASHES: WordHashes | None = None
-
-
-def _words() -> WordHashes:
-    global _HASHES
-    if _HASHES is None:
-        _HASHES = WordHashes()
-    return _HASHES
-
-
 def path_coordinates(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The one or two minwise tokens on which the nodes with these path hashes branch; the second is -1 two times in three."""
     draw = mixed(path.astype(np.uint64))
@@ -301,6 +291,8 @@ def _by_node(members: DataFrame, flush, columns: list[str], schema: str) -> Data
             flush(node & 0xFFFFFFFFFFFFFFFF, *held, out)
         if out:
             yield table()
+        batch = cols = held = None
+        at_rest()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return members.select(*columns).repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, schema)
@@ -330,6 +322,8 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     right.append(b)
             if left:
                 yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        batch = own = found = None
+        at_rest()
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "kind").select("a", "kind", "b", "grams").mapInArrow(run, "a long, b long")
@@ -339,7 +333,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, sig, grams): the packed full sets of the documents with these ids, and their digests."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = _words()
+        hashes = word_hashes()
         sets = [shingles(t, hashes).tobytes() for t in raw(batch.column(1))]
         return pa.record_batch([batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "sig", "grams"])
 

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import at_rest, written
 from .common import pieces as slices
-from .common import written
 from .tokens import BATCH, Encoded, default_vocabulary, word_ids
 
 CAPACITY = 2048
@@ -44,6 +44,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool = Fal
             for some in slices(batch, BATCH):
                 yield cut(some, part, seen)
             pa.default_memory_pool().release_unused()
+        batch = some = None
+        at_rest()
 
     def cut(batch: pa.RecordBatch, part: int, seen: np.ndarray) -> pa.RecordBatch:
         flat, bounds = Encoded(batch.column(1), word_ids(path)).ids(0)

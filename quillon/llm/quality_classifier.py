@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, over_arrow, raw, rows_where
+from .common import over_arrow, raw, rows_where, word_hashes
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
@@ -22,17 +22,14 @@ SIZE = 16
 #: Labelled rows that training takes at most, those of least hash of their id.
 SAMPLE = 4000
 THRESHOLD = 0.3
-_HASHES: WordHashes | None = None
 
 
 def features(text: bytes | None) -> np.ndarray:
     """The bucket of each word and of each character n-gram (in bytes, with the spaces around its word). None for no words."""
-    global _HASHES
-    _HASHES = _HASHES or WordHashes()
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.int64)
-    found = [(_HASHES.array(words) % np.uint64(BUCKETS)).astype(np.int64)]
+    found = [(word_hashes().array(words) % np.uint64(BUCKETS)).astype(np.int64)]
     buffer = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     spaces = np.concatenate([[0], np.cumsum(buffer == 32, dtype=np.int32)])
     wide = buffer.astype(np.uint32)

@@ -8,6 +8,8 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from .common import kept
+
 #: ASCII punctuation: the vocabulary's splitter always parts it from letters and digits before it.
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 #: Kinds of bytes: ASCII white space as bytes.split takes it, ASCII punctuation, ASCII capitals, other ASCII letters and digits, the rest.
@@ -19,8 +21,8 @@ _KIND[65:91] = CAPITAL
 _KIND[[*range(48, 58), *range(97, 123)]] = PLAIN
 #: Fewer new stretches than this are merged one at a time, and longer ones always.
 FEW, LONG = 64, 48
-#: Bytes of text that are encoded together.
-BATCH = 8 << 20
+#: Bytes of text that are encoded together; at work, about twenty times as much memory is used. Ids don't depend on it.
+BATCH = 2 << 20
 
 
 def default_vocabulary() -> str:
@@ -169,15 +171,12 @@ class WordIds(dict):
 
 
 _LETTERS = _byte_letters()
-_KNOWN: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
     """This worker's ids of a vocabulary, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
-    return _KNOWN[path]
+    return kept(f"ids {path}", lambda: WordIds(path))
 
 
 class Encoded:

@@ -1,7 +1,13 @@
+import gc
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
+
 import corpus_pipeline
+from quillon.llm import packing, quality_classifier, tokens
+from quillon.llm.common import WordHashes
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -41,3 +47,37 @@ def test_stages_take_effect(spark, tmp_path):
 def test_packed_sequences_can_be_built_from_the_result(spark, table):
     rows = corpus_pipeline.packed(spark, table(["one two three", "four " * 3000, None]), "").collect()
     assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+
+
+def test_workers_get_documents_in_small_batches(spark, table):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = table(["word " * 4000] * 1000).coalesce(1)  # 20 MB in one task
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.packed):
+            spark.conf.unset(name)
+            stage(spark, table(["one two three"]), "")
+            found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) > 20_000_000 and max(found) < 5_000_000
+    finally:
+        spark.conf.unset(name)
+
+
+def test_encoding_a_batch_takes_little_memory():
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "rstlmn"]
+    batch = pa.record_batch([pa.array([" ".join(words * 40)] * 200)], ["text"])  # 7.7 MB
+    known = tokens.word_ids(tokens.default_vocabulary())
+    known.learn([w.encode() for w in words])
+    tracemalloc.start()
+    for some in packing.slices(batch, packing.BATCH):
+        tokens.Encoded(some.column(0), known).ids(0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 7_000_000 and peak < 100_000_000
+
+
+def test_a_worker_keeps_the_memory_of_one_step_only():
+    quality_classifier.features(b"kept-by-quality")
+    tokens.word_ids(tokens.default_vocabulary())
+    gc.collect()
+    assert not any(type(x) is WordHashes and b"kept-by-quality" in x for x in gc.get_objects())
