@@ -1,7 +1,9 @@
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import edit_counts, hmm_lm, language_id, quality_classifier, quality_rules
@@ -242,3 +244,45 @@ def test_long_steps_that_lose_are_taken_back():
 
     hmm_lm.fitted(start, background, counts)
     assert not np.allclose(asked[1].emit, asked[2].emit) and np.allclose(asked[2].start, np.full(k, 1 / k))
+
+
+def test_words_are_split_and_classed_as_python_does_for_less(odd_texts):
+    draw = random.Random(6)
+    texts = [*odd_texts, "  A bÉ\x0b\x0cC\x1fd\x85E  x y\r\n", *["q" * n for n in range(1, 20)], *("é" * n for n in range(1, 9))]
+    texts += [" ".join(f"w{draw.randrange(200_000)}" for _ in range(500)) for _ in range(600)]
+    frequent = {b"word": 0, b"one": 1, "é".encode(): 2, b"qqq": 3}
+    least = {}
+    for _ in range(3):
+        began = time.process_time()
+        plain = [text.encode().lower().split() if text else [] for text in texts]
+        classes = [[frequent[w] if w in frequent else hmm_lm.shape(w) for w in words] for words in plain]
+        done = time.process_time()
+        words, sizes = hmm_lm.words_of(pa.array(texts))
+        found = hmm_lm.classes_of(words, pa.array(list(frequent), pa.binary()))
+        took = {"plain": done - began, "arrow": time.process_time() - done}
+        least = {name: min(seconds, least.get(name, seconds)) for name, seconds in took.items()}
+    assert words.to_pylist() == [w for words in plain for w in words] and sizes.tolist() == list(map(len, plain))
+    assert [values.tolist() for values in hmm_lm.with_ends(found, sizes)] == [[*values, hmm_lm.END] for values in classes]
+    part = words.slice(3, 400)  # an array that begins inside its buffers
+    assert hmm_lm.classes_of(part, pa.array(list(frequent), pa.binary())).tolist() == [c for values in classes for c in values][3:403]
+    assert least["arrow"] < 0.5 * least["plain"]
+
+
+def test_scores_of_words_with_and_without_counts():
+    draw = np.random.default_rng(7)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    k = hmm_lm.STATES
+    model = hmm_lm.Model(norm(draw.random(k), 0), norm(draw.random((k, k)), 1), norm(draw.random((hmm_lm.CLASSES, k)), 0))
+    vocab = hmm_lm.Vocabulary(900, 30, 40, {b"a": 0, b"b": 1}, draw.integers(1, 50, hmm_lm.CLASSES).astype(float), draw.integers(1, 9, hmm_lm.CLASSES).astype(float))
+    counts = {b"a": 300, b"b": 200, b"rare": 3}
+    texts = [" A b  rare b", None, "", "new words", "rare"]
+    n, known, base, score = hmm_lm.score_texts(pa.array(texts), pa.array(list(counts), pa.binary()), np.array(list(counts.values())), vocab, model)
+    whole = 900 + 0.5 * 31
+    for i, text in enumerate(texts):
+        words = text.encode().lower().split() if text else []
+        c = np.array([counts.get(w, 0) for w in words])
+        kind = np.array([vocab.frequent.get(w, hmm_lm.shape(w)) for w in words], int)
+        inside = sum(np.log10((m + 0.5) / (vocab.class_tokens[j] + 0.5 * (vocab.class_words[j] + 1))) for m, j in zip(c, kind, strict=True) if j >= hmm_lm.FREQUENT)
+        assert n[i] == len(words) + 1 and known[i] == (c > 0).sum() + 1
+        assert base[i] == pytest.approx(np.log10((np.append(c, 40) + 0.5) / whole).sum())
+        assert score[i] == pytest.approx(inside + hmm_lm.forward([np.append(kind, hmm_lm.END)], model)[0] / np.log(10))
